@@ -3,7 +3,6 @@ tables that cut lineage, and byte-exact word splitting."""
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -16,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Word separators: space and bytes 9 to 13, which is also what ``bytes.split()`` splits on.
 SPACE = " \t\n\x0b\x0c\r"
+#: Removes an execution's shuffle files when it ends; nothing reads them once its table is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: str | None = None
 
 
@@ -38,10 +39,15 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: lineage is cut at files
-    that outlive any executor, and shuffle files of the finished steps can go."""
+    that outlive any executor, and the shuffle files of the finished step are removed."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
@@ -57,12 +63,6 @@ def discard(*frames: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a file:, hdfs:, s3: or gs: URI, or of a plain path."""
     return pafs.FileSystem.from_uri(uri)

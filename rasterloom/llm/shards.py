@@ -41,7 +41,6 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 8, seed: int = SEED, bucket
     packed = dealt.groupBy("bucket").agg(F.sort_array(F.collect_list(record)).alias("rows")).sortWithinPartitions("bucket")
     mixed = packed.select("bucket", F.size("rows").cast("long").alias("n"), F.shuffle("rows", F.lit(seed)).alias("rows"))
     mixed = common.materialize(mixed.select("bucket", "n", F.posexplode("rows").alias("pos", "r")).select("bucket", "n", F.col("pos").cast("long").alias("pos"), "r.doc_id", "r.text"), "shuffled")
-    common.free_shuffles(docs.sparkSession)
     counts = mixed.groupBy("bucket").agg(F.count("*").alias("n"))
     from pyspark.sql import Window
 

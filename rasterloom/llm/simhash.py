@@ -203,7 +203,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fps = common.materialize(fingerprints(docs), "fingerprints")
     reps = common.materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "representatives")
     found = common.materialize(links(reps.where("rep is not null")).distinct(), "links")
-    common.free_shuffles(spark)
     linked = components(found)
     # Only fingerprints with several documents or links need a lookup.
     comp = reps.join(linked, reps["rep"] == linked["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"), (F.col("n") > 1).alias("many"), F.col("component").isNotNull().alias("linked"))

@@ -338,10 +338,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     anchors = common.materialize(_repeated_anchors(docs, window, anchor), "anchors")
-    common.free_shuffles(spark)
     roles = common.materialize(_window_roles(docs, anchors, window, anchor), "windows")
     common.discard(anchors)
-    common.free_shuffles(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, "text"):
@@ -390,7 +388,6 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     found = dealt.mapInArrow(match, "doc_id long, text_hash long, a int, z int").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("a", "z"))).alias("spans"))
     found = common.materialize(found, "spans")
     common.discard(roles)
-    common.free_shuffles(spark)
     return found
 
 
