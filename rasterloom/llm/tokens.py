@@ -2,9 +2,8 @@
 
 The vocabulary ``word_bpe_49k.json`` drops white space and splits before merging, so the ids of
 a text are the ids of its space-separated words, one after the other. Words repeat, so each
-Python worker keeps the ids of the words it has met; new words made of Latin letters and closing
-punctuation are reduced to their lower-cased letters, which repeat more, and encoded together.
-Everything else goes through the tokenizers library as it is. ``tests/llm`` hold the result
+Python worker keeps the ids of the words it has met; new words made of Latin letters are encoded by
+the library together, closing marks apart. Everything else goes through it word by word. ``tests/llm`` hold the result
 against the library's own ids of whole texts."""
 from __future__ import annotations
 
@@ -14,14 +13,19 @@ import re
 import numpy as np
 
 #: Letters whose lower case is one character each and which NFC leaves alone.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž]{1,64})([.,;:!?|)]{0,8})")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž"
+_PLAIN = re.compile(f"[{_LETTERS}]{{1,64}}")
+#: Marks that form one piece with each other; an apostrophe may start a contraction instead.
+_TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
+#: Texts that may be lower-cased as a whole: ASCII and those letters, no special token.
+_SAFE = re.compile(f"[\\x00-\\x7f{_LETTERS}]*")
 _workers: dict[tuple, "WordTokenizer"] = {}
 
 
 class WordTokenizer:
     """Ids of texts as little-endian bytes of ``dtype``. Caches are bounded by ``max_words``."""
 
-    def __init__(self, path: str, max_words: int = 300_000):
+    def __init__(self, path: str, max_words: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -33,7 +37,6 @@ class WordTokenizer:
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.max_words = max_words
         self.words: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {}
 
     def _pack(self, ids) -> bytes:
         return np.array(ids, dtype=self.dtype).tobytes()
@@ -46,50 +49,67 @@ class WordTokenizer:
             part = cores[at : at + 4096]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part) and (not len(ids) or cuts[-1] == len(ids)):
-                self.cores.update(zip(part, (x.tobytes() for x in np.split(ids, cuts[:-1]))))
+            if len(cuts) == len(part) and cuts[-1] == len(ids):
+                data, width, a = ids.tobytes(), self.dtype.itemsize, 0
+                for core, z in zip(part, (cuts * width).tolist()):
+                    self.words[core] = data[a:z]
+                    a = z
             else:
-                self.cores.update(zip(part, self._encode_each(part)))
+                self.words.update(zip(part, self._encode_each(part)))
 
     def _learn(self, missing: set[str]) -> None:
-        if len(self.words) > self.max_words:
-            self.words = {"": b""}
-        if len(self.cores) > 2 * self.max_words:
-            self.cores = {}
-        plain, other, tails = [], [], set()
+        """Adds the ids of words of at most 256 characters."""
+        words, plain, tailed, other = self.words, [], [], []
         for w in missing:
-            if m := _PLAIN.fullmatch(w):
-                core, tail = m[1].lower(), m[2]
-                plain.append((w, core, tail))
-                if tail and tail not in self.words:
-                    tails.add(tail)
+            if len(w) <= 64 and w.isascii() and w.islower() and w.isalpha():
+                plain.append(w)
+                continue
+            core = w.rstrip(_TAIL)
+            if core and len(w) <= 64 and _PLAIN.fullmatch(core):
+                tailed.append((w, core.lower(), w[len(core) :]))
             else:
                 other.append(w)
-        other.extend(tails)
-        self._encode_cores(list({c for _, c, _ in plain if c not in self.cores}))
-        self.words.update(zip(other, self._encode_each(other)))
-        for w, core, tail in plain:
-            self.words[w] = self.cores[core] + self.words[tail]
+        more = {c for _, c, _ in tailed if c not in words}.difference(plain)
+        self._encode_cores([*plain, *more])
+        marks = list({t for _, _, t in tailed if t not in words})
+        other += marks
+        words.update(zip(other, self._encode_each(other)))
+        for w, core, tail in tailed:
+            words[w] = words[core] + words[tail]
+
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        """Pieces that the tokenizer would not join: words at spaces, in plain text lower-cased and
+        with the full stop or comma behind a word apart."""
+        text = text.replace("\n", " ")
+        if "<|" not in text and (text.isascii() or _SAFE.fullmatch(text)):
+            text = text.lower()
+            for mark in (".", ","):
+                parts = text.split(mark + " ")
+                if all([p[-1:].isalnum() for p in parts[:-1]]):  # else it belongs to a longer run of marks
+                    text = f" {mark} ".join(parts)
+        return text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. Call with a few MB of text at a time."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing: set[str] = set()
-        for ws in split:
-            missing.update(ws)
-        missing.difference_update(self.words)
+        if len(self.words) > self.max_words:
+            self.words = {"": b""}
+        get, out, again, missing = self.words.__getitem__, [], [], set()
+        for k, t in enumerate(texts):
+            ws = self._split(t)
+            try:
+                out.append(b"".join(map(get, ws)))
+            except KeyError:
+                missing |= set(ws).difference(self.words)
+                out.append(b"")
+                again.append((k, ws))
         long = {w for w in missing if len(w) > 256}
         if missing:
-            kept = self.words
             self._learn(missing - long)
-            if kept is not self.words:  # the cache was emptied: words known before are gone
-                again = {w for ws in split for w in ws} - self.words.keys() - long
-                self._learn(again)
-        if long:
-            own = dict(zip(sorted(long), self._encode_each(sorted(long))))
-            return [b"".join([self.words[w] if len(w) <= 256 else own[w] for w in ws]) for ws in split]
-        get = self.words.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        own = dict(zip(long, self._encode_each(list(long)))) if long else {}
+        for k, ws in again:
+            out[k] = b"".join([own[w] if w in own else get(w) for w in ws] if own else map(get, ws))
+        return out
 
 
 def word_tokenizer(path: str) -> WordTokenizer:

@@ -1,12 +1,12 @@
 """Token ids in wavelet-matrix shard files.
 
-A shard holds the ids of consecutive documents (ascending ``doc_id``). Bit ``k`` of every id, from
-the highest, forms one plane; before each further plane the ids are parted stably, zeros first. A
-plane is stored in blocks of ``BLOCK`` bits, each compressed with zstd on its own, and a directory
-has the ones before each block, so access, counting and selection read a few blocks of one file.
+A shard holds the ids of consecutive documents (ascending ``doc_id``) in segments of ``SEGMENT`` ids,
+each a wavelet matrix: bit ``k`` of every id, from the highest, forms one plane; before each further
+plane the ids are parted stably, zeros first. A plane is a zstd frame of its own with its number of
+zeros in the header, so access, counting and selection read a few planes of one file.
 
-File: ``WVM1``, u32 header length, JSON header (counts, block offsets, ones before each block,
-zeros of each plane), then the compressed document table and blocks.
+File: ``WVM1``, u32 header length, JSON header (counts, frame offsets and zeros by segment and
+plane), then the compressed document table and the frames.
 
 Defined results: null text is an empty document (end id only); a null ``doc_id`` sorts first;
 repeated doc_ids stay separate documents, ordered by their ids; an empty table gives no shard.
@@ -28,134 +28,134 @@ from . import common
 from .tokens import word_tokenizer
 
 MAGIC = b"WVM1"
-BLOCK = 1 << 18
+SEGMENT = 1 << 16
 SHARD_TOKENS = 1 << 22
 
 
 def build(ids: np.ndarray, lengths: np.ndarray, doc_ids: list[int | None], bits: int) -> bytes:
     """The file of one shard: ``ids`` of documents of the given lengths."""
     press = zstandard.ZstdCompressor(level=1)
-    seq = ids.astype(np.uint16 if bits <= 16 else np.uint32)
-    zeros, offsets, before, parts, at = [], [], [], [], 0
     docs = press.compress(np.array([x if x is not None else 0 for x in doc_ids], "<i8").tobytes() + np.array([x is None for x in doc_ids], "u1").tobytes() + lengths.astype("<i8").tobytes())
-    parts.append(docs)
-    at = len(docs)
-    for bit in range(bits - 1, -1, -1):
-        ones = (seq >> bit & 1).astype(bool)
-        rows, counts = [], []
-        total = 0
-        for k in range(0, len(ones), BLOCK):
-            block = ones[k : k + BLOCK]
-            data = press.compress(np.packbits(block).tobytes())
-            rows.append(at)
-            counts.append(total)
-            total += int(np.count_nonzero(block))
-            parts.append(data)
-            at += len(data)
-        rows.append(at)
-        offsets.append(rows)
-        before.append([*counts, total])
-        zeros.append(len(ones) - total)
-        seq = np.concatenate([seq[~ones], seq[ones]])
-    header = json.dumps({"n": len(ids), "docs": len(doc_ids), "doc_bytes": len(docs), "bits": bits, "block": BLOCK, "zeros": zeros, "offsets": offsets, "before": before}).encode()
+    zeros, offsets, parts, at = [], [], [docs], len(docs)
+    dtype = np.uint16 if bits <= 16 else np.uint32
+    for a in range(0, len(ids), SEGMENT):
+        seq = ids[a : a + SEGMENT].astype(dtype)
+        z, o = [], []
+        for bit in range(bits - 1, -1, -1):
+            ones = (seq & dtype(1 << bit)).astype(bool)
+            parts.append(press.compress(np.packbits(ones).tobytes()))
+            o.append(at)
+            at += len(parts[-1])
+            low = np.flatnonzero(~ones)
+            z.append(len(low))
+            seq = seq.take(np.concatenate([low, np.flatnonzero(ones)]))
+        zeros.append(z)
+        offsets.append([*o, at])
+    header = json.dumps({"n": len(ids), "docs": len(doc_ids), "doc_bytes": len(docs), "bits": bits, "segment": SEGMENT, "zeros": zeros, "offsets": offsets}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(header)), header, *parts])
 
 
 class WaveletShard:
-    """Random access into one shard file. Blocks are decompressed when they are first needed."""
+    """Random access into one shard file. Planes are decompressed when they are first needed."""
 
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
             raise ValueError("not a wavelet shard")
         (n,) = struct.unpack_from("<I", data, 4)
         self.h, self.body, self.data = json.loads(data[8 : 8 + n]), 8 + n, data
-        self.n, self.bits, self.zeros = self.h["n"], self.h["bits"], self.h["zeros"]
-        self._blocks: dict[tuple[int, int], np.ndarray] = {}
-        raw = zstandard.ZstdDecompressor().decompress(data[self.body : self.body + self.h["doc_bytes"]])
+        self.n, self.bits, self.zeros, self.segment = self.h["n"], self.h["bits"], self.h["zeros"], self.h["segment"]
+        self._planes: dict[tuple[int, int], np.ndarray] = {}
+        self._zstd = zstandard.ZstdDecompressor()
+        raw = self._zstd.decompress(data[self.body : self.body + self.h["doc_bytes"]])
         d = self.h["docs"]
         ids, null = np.frombuffer(raw, "<i8", d), np.frombuffer(raw, "u1", d, 8 * d)
         self.doc_ids = [None if z else int(x) for x, z in zip(ids, null)]
         self.lengths = np.frombuffer(raw, "<i8", d, 9 * d)
 
-    def _block(self, level: int, k: int) -> np.ndarray:
-        """The bits of a block as booleans."""
-        if (level, k) not in self._blocks:
-            a, b = self.h["offsets"][level][k : k + 2]
-            raw = zstandard.ZstdDecompressor().decompress(self.data[self.body + a : self.body + b])
-            size = min(BLOCK, self.n - k * BLOCK)
-            self._blocks[level, k] = np.unpackbits(np.frombuffer(raw, "u1"), count=size).view(bool)
-        return self._blocks[level, k]
-
-    def _rank1(self, level: int, i: int) -> int:
-        """Ones in the first ``i`` bits of a plane."""
-        k, rest = divmod(i, BLOCK)
-        return self.h["before"][level][k] + (int(np.count_nonzero(self._block(level, k)[:rest])) if rest else 0)
-
-    def _select(self, level: int, one: bool, j: int) -> int:
-        """Position of the ``j``-th (from 0) one or zero of a plane."""
-        before = self.h["before"][level]
-        counts = [c if one else min(k * BLOCK, self.n) - c for k, c in enumerate(before)]
-        k = int(np.searchsorted(counts, j, side="right")) - 1
-        bits = self._block(level, k)
-        return k * BLOCK + int(np.flatnonzero(bits if one else ~bits)[j - counts[k]])
+    def _size(self, seg: int) -> int:
+        return min(self.segment, self.n - seg * self.segment)
+
+    def _read(self, seg: int, level: int) -> np.ndarray:
+        a, b = self.h["offsets"][seg][level : level + 2]
+        raw = self._zstd.decompress(self.data[self.body + a : self.body + b])
+        return np.unpackbits(np.frombuffer(raw, "u1"), count=self._size(seg)).view(bool)
+
+    def _plane(self, seg: int, level: int) -> np.ndarray:
+        if (seg, level) not in self._planes:
+            self._planes[seg, level] = self._read(seg, level)
+        return self._planes[seg, level]
+
+    def _down(self, seg: int, level: int, one: bool, i: int) -> int:
+        """Where the next plane continues position i of this one (rank)."""
+        ones = int(np.count_nonzero(self._plane(seg, level)[:i]))
+        return self.zeros[seg][level] + ones if one else i - ones
 
     def access(self, i: int) -> int:
         """The id at position ``i``."""
         if not 0 <= i < self.n:
             raise IndexError(i)
+        seg, i = divmod(i, self.segment)
         value = 0
         for level in range(self.bits):
-            k, rest = divmod(i, BLOCK)
-            one, r = bool(self._block(level, k)[rest]), self._rank1(level, i)
-            value = value << 1 | one
-            i = self.zeros[level] + r if one else i - r
+            one = bool(self._plane(seg, level)[i])
+            value, i = value << 1 | one, self._down(seg, level, one, i)
         return value
 
-    def _range(self, token: int, lo: int, hi: int) -> tuple[int, int]:
+    def _range(self, token: int, seg: int, lo: int, hi: int) -> tuple[int, int]:
+        """The stretch behind the last plane that holds a token of positions lo to hi - 1."""
         if not 0 <= token < 1 << self.bits:
             return 0, 0
         for level in range(self.bits):
-            a, b = self._rank1(level, lo), self._rank1(level, hi)
-            lo, hi = (self.zeros[level] + a, self.zeros[level] + b) if token >> (self.bits - 1 - level) & 1 else (lo - a, hi - b)
+            one = bool(token >> (self.bits - 1 - level) & 1)
+            lo, hi = self._down(seg, level, one, lo), self._down(seg, level, one, hi)
         return lo, hi
 
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
         """Occurrences of a token at positions lo to hi - 1."""
-        a, b = self._range(token, lo, self.n if hi is None else hi)
-        return b - a
+        total, hi = 0, self.n if hi is None else hi
+        for seg in range(lo // self.segment, -(-hi // self.segment)):
+            at = seg * self.segment
+            a, b = self._range(token, seg, max(lo - at, 0), min(hi - at, self._size(seg)))
+            total += b - a
+        return total
 
     def rank(self, token: int, i: int) -> int:
         return self.count(token, 0, i)
 
     def select(self, token: int, j: int) -> int:
         """Position of the ``j``-th occurrence, from 0."""
-        lo, hi = self._range(token, 0, self.n)
-        if not 0 <= j < hi - lo:
+        if j < 0:
             raise IndexError(j)
-        i = lo + j
-        for level in range(self.bits - 1, -1, -1):
-            one = bool(token >> (self.bits - 1 - level) & 1)
-            i = self._select(level, one, i - self.zeros[level] if one else i)
-        return i
+        for seg in range(len(self.zeros)):
+            lo, hi = self._range(token, seg, 0, self._size(seg))
+            if j >= hi - lo:
+                j -= hi - lo
+                continue
+            i = lo + j
+            for level in range(self.bits - 1, -1, -1):
+                plane = self._plane(seg, level)
+                one = bool(token >> (self.bits - 1 - level) & 1)
+                i = int(np.flatnonzero(plane if one else ~plane)[i - self.zeros[seg][level] if one else i])
+            return seg * self.segment + i
+        raise IndexError(j)
 
     def occurrences(self, token: int) -> list[int]:
         return [self.select(token, j) for j in range(self.count(token))]
 
-    def plane(self, level: int) -> np.ndarray:
-        blocks = [self._block(level, k) for k in range(len(self.h["offsets"][level]) - 1)]
-        for k in range(len(blocks)):
-            self._blocks.pop((level, k), None)
-        return np.concatenate(blocks) if blocks else np.zeros(0, bool)
-
     def decode(self) -> np.ndarray:
         """All ids in order: undo the partings from the last plane to the first."""
-        seq = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
-        for level in range(self.bits - 1, -1, -1):
-            ones, z = self.plane(level), self.zeros[level]
-            prior = np.empty_like(seq)
-            prior[~ones], prior[ones] = seq[:z], seq[z:] | seq.dtype.type(1 << (self.bits - 1 - level))
-            seq = prior
-        return seq
+        dtype = np.uint16 if self.bits <= 16 else np.uint32
+        out = np.empty(self.n, dtype)
+        for seg in range(len(self.zeros)):
+            seq = np.zeros(self._size(seg), dtype)
+            for level in range(self.bits - 1, -1, -1):
+                ones, z = self._read(seg, level), self.zeros[seg][level]
+                prior = np.empty_like(seq)
+                prior[np.flatnonzero(~ones)] = seq[:z]
+                prior[np.flatnonzero(ones)] = seq[z:] | dtype(1 << (self.bits - 1 - level))
+                seq = prior
+            out[seg * self.segment : seg * self.segment + len(seq)] = seq
+        return out
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
