@@ -2,9 +2,8 @@
 
 Byte 2-, 3- and 4-grams of the lower-cased text (ASCII other than letters counts as a word edge) hash
 into ``BUCKETS`` embeddings; their mean goes through a linear softmax. Both are trained with
-mini-batch stochastic gradient descent in numpy on a bounded sample: at most ``sample_rows`` labelled
-documents of at most ``sample_bytes`` bytes, taken in the order of a hash of doc_id, cut into
-snippets. A tenth of it is held back to calibrate: one temperature by likelihood, and the score below
+mini-batch stochastic gradient descent in numpy on a bounded sample: about ``sample_rows`` (never over
+twice as many) labelled documents of at most ``sample_bytes`` bytes, chosen by a hash, cut into snippets. A tenth of it is held back to calibrate: one temperature by likelihood, and the score below
 which a prediction is rejected. Predictions read whole texts; averaging being linear, embeddings and
 softmax weights fold into one score table that is broadcast (``BUCKETS`` x languages, bounded).
 
@@ -150,7 +149,12 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAM
     """Train on the bounded sample of labelled documents that are not held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") <= sample_bytes) & (F.octet_length("text") > 0))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(sample_rows).collect()
+    # Rows whose hash is in the lowest share: about sample_rows of them, whatever the number of tasks.
+    total = rows.count()
+    if total > sample_rows:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < int((1 << 40) * sample_rows / total))
+    rows = rows.limit(2 * sample_rows).collect()  # binds only if one document repeats without end
+    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
     rows = [r for r in rows if _LETTER.search(r["text"])]
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
