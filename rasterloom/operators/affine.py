@@ -1,18 +1,19 @@
 """Affine warps, matrix inversion and five-point alignment.
 
-A warp reads the planes of one image by computed positions, so it runs inside the image's row:
-output positions are a generated sequence, taps are array look-ups, and nothing is shuffled but
-the pixels of an image to its row."""
+A warp is a table of weights: for every output pixel the source pixels that it reads. One matrix for all
+images makes one small generated table, joined by broadcast under Catalyst's size check; a matrix per
+image makes the table per image, joined on image and source position. A weighted mean per output
+pixel follows."""
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.taps import CUBICS, SINCS, weight
-from .pixels import channels, to_pixels, to_planes
+from .pixels import channels, grid, sizes
 
 Matrix = tuple[tuple[float, float, float], tuple[float, float, float]]
 # Positions of the five points in a 112-pixel crop.
@@ -52,14 +53,6 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _mean(plane: Column, width: Column, xs: Column, ys: Column) -> Column:
-    """Weighted mean over the grid of taps; 0 without positive weight."""
-    total = lambda ts: F.aggregate(ts, F.lit(0.0), lambda a, t: a + t["w"])
-    line = lambda q: F.aggregate(xs, F.lit(0.0), lambda a, t: a + t["w"] * F.get(plane, q["s"] * width + t["s"]))
-    value = F.aggregate(ys, F.lit(0.0), lambda a, q: a + q["w"] * line(q))
-    return _let(total(xs) * total(ys), lambda w: F.when(w > 0, value / F.when(w > 0, w)).otherwise(F.lit(0.0)))
-
-
 def _kernel_taps(mode: int, t: Column) -> Column:
     base = F.floor(t).cast("int")
     if mode == S.CUBIC:
@@ -89,35 +82,45 @@ def _area_taps(low: Column, high: Column, n: Column) -> Column:
     return F.when(some, F.transform(F.sequence(first, F.when(some, last).otherwise(first)), lambda s: F.struct(s.alias("s"), w(s).alias("w")))).otherwise(F.array().cast("array<struct<s:int,w:double>>"))
 
 
-def _sample(mode: int, plane: Column, h: Column, w: Column, inv: Column, x: Column, y: Column) -> Column:
-    zero = F.lit(0.0)
+def _axis_taps(mode: int, t: Column, n: Column) -> Column:
+    """Array of (s, w) along one axis for source coordinate ``t``; empty outside the mode's bounds."""
+    none = F.array().cast("array<struct<s:int,w:double>>")
+    tap = lambda s, w: F.struct(s.cast("int").alias("s"), w.cast("double").alias("w"))
+    if mode == S.NEAREST:
+        return F.when((F.rint(t) >= 0) & (F.rint(t) < n), F.array(tap(F.rint(t), F.lit(1.0)))).otherwise(none)
+    if mode == S.LINEAR:
+        low = F.floor(t)
+        return F.when((t >= 0) & (t < n), F.array(tap(low, F.lit(1.0) - (t - low)), tap(F.least(low + 1, n - 1), t - low))).otherwise(none)
+    low, far = _margins(mode)
+    inside = (t >= low) & (t < n - far)
+    return F.when(inside, _kernel_taps(mode, F.when(inside, t).otherwise(F.lit(0.0)))).otherwise(none)
+
+
+def weight_table(cells: DataFrame, mode: int, rest: list[str]) -> DataFrame:
+    """rest, y, x, sy, sx, w of output cells (rest, y, x, inverse, h_in, w_in)."""
+    inv, y, x = F.col("inverse"), F.col("y").cast("double"), F.col("x").cast("double")
+    if mode == S.AREA:
+        x, y = x + 0.5, y + 0.5
     tx = inv["m00"] * x + inv["m01"] * y + inv["m02"]
     ty = inv["m10"] * x + inv["m11"] * y + inv["m12"]
-    if mode == S.NEAREST:
-        sx, sy = F.rint(tx), F.rint(ty)
-        inside = (sx >= 0) & (sx < w) & (sy >= 0) & (sy < h)
-        return F.when(inside, F.get(plane, (sy * w + sx).cast("int"))).otherwise(zero)
+    hx = F.sqrt(inv["m00"] * inv["m00"] + inv["m01"] * inv["m01"]) * 0.5
+    hy = F.sqrt(inv["m10"] * inv["m10"] + inv["m11"] * inv["m11"]) * 0.5
+    at = cells.select(*rest, "y", "x", "h_in", "w_in", tx.alias("tx"), ty.alias("ty"), hx.alias("hx"), hy.alias("hy"))
     if mode == S.AREA:
-        cx = inv["m00"] * (x + 0.5) + inv["m01"] * (y + 0.5) + inv["m02"]
-        cy = inv["m10"] * (x + 0.5) + inv["m11"] * (y + 0.5) + inv["m12"]
-        hx = F.sqrt(inv["m00"] * inv["m00"] + inv["m01"] * inv["m01"]) * 0.5
-        hy = F.sqrt(inv["m10"] * inv["m10"] + inv["m11"] * inv["m11"]) * 0.5
-        return _let(F.struct(_area_taps(cx - hx, cx + hx, w).alias("x"), _area_taps(cy - hy, cy + hy, h).alias("y")), lambda t: _mean(plane, w, t["x"], t["y"]))
-
-    def at(t: Column) -> Column:
-        if mode == S.LINEAR:
-            x0, y0 = F.floor(t["x"]).cast("int"), F.floor(t["y"]).cast("int")
-            fx, fy = t["x"] - x0, t["y"] - y0
-            x1, y1 = F.least(x0 + 1, w - 1), F.least(y0 + 1, h - 1)
-            p = lambda yy, xx: F.get(plane, yy * w + xx)
-            value = (p(y0, x0) * (F.lit(1.0) - fx) + p(y0, x1) * fx) * (F.lit(1.0) - fy) + (p(y1, x0) * (F.lit(1.0) - fx) + p(y1, x1) * fx) * fy
-            return F.when((t["x"] >= 0) & (t["x"] < w) & (t["y"] >= 0) & (t["y"] < h), value).otherwise(zero)
-        low, far = _margins(mode)
-        inside = (t["x"] >= low) & (t["x"] < w - far) & (t["y"] >= low) & (t["y"] < h - far)
-        taps = F.struct(_kernel_taps(mode, t["x"]).alias("x"), _kernel_taps(mode, t["y"]).alias("y"))
-        return F.when(inside, _let(taps, lambda k: _mean(plane, w, k["x"], k["y"]))).otherwise(zero)
-
-    return _let(F.struct(tx.alias("x"), ty.alias("y")), at)
+        xs, ys = _area_taps(F.col("tx") - F.col("hx"), F.col("tx") + F.col("hx"), F.col("w_in")), _area_taps(F.col("ty") - F.col("hy"), F.col("ty") + F.col("hy"), F.col("h_in"))
+    else:
+        xs, ys = _axis_taps(mode, F.col("tx"), F.col("w_in")), _axis_taps(mode, F.col("ty"), F.col("h_in"))
+    wide = at.select(*rest, "y", "x", ys.alias("ys"), F.explode(xs).alias("a")).select(*rest, "y", "x", "a", F.explode("ys").alias("b"))
+    return wide.select(*rest, "y", "x", F.col("b.s").alias("sy"), F.col("a.s").alias("sx"), (F.col("a.w") * F.col("b.w")).alias("w"))
+
+
+def _gather(px: DataFrame, weights: DataFrame, cells: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
+    """Weighted means of all cells (keys, y, x); cells without positive weight are 0."""
+    cs = channels(px)
+    told = px.withColumnsRenamed({"y": "sy", "x": "sx"}).join(weights, on).select(*keys, "y", "x", "w", *((F.col("w") * F.col(c)).alias(c) for c in cs))
+    base = cells.select(*keys, "y", "x", F.lit(0.0).alias("w"), *(F.lit(0.0).alias(c) for c in cs))
+    w = F.sum("w")
+    return told.unionByName(base).groupBy(*keys, "y", "x").agg(*(F.when(w > 0, F.sum(c) / F.when(w > 0, w)).otherwise(F.lit(0.0)).alias(c) for c in cs))
 
 
 def auto_mode(m) -> int:
@@ -126,38 +129,45 @@ def auto_mode(m) -> int:
     return S.MITCHELL if math.hypot(a, d) > 1 or math.hypot(b, e) > 1 else S.AREA
 
 
-def warp_planes(planes: DataFrame, dsize: tuple[int, int], keys: list[str], mode: int, inverse: Column | str = "inverse") -> DataFrame:
-    """Warp planes (height, width, c*) by the inverse matrix of each row; dsize = (height, width)."""
-    h_out, w_out = dsize
-    cs = channels(planes)
-    inv = F.col(inverse) if isinstance(inverse, str) else inverse
-    cell = F.sequence(F.lit(0), F.lit(h_out * w_out - 1))
-    out = [F.transform(cell, lambda i, c=c: _sample(mode, F.col(c), F.col("height"), F.col("width"), inv, i % w_out, F.floor(i / w_out))).alias(c) for c in cs]
-    return planes.select(*keys, F.lit(h_out).alias("height"), F.lit(w_out).alias("width"), *out)
+def _cells(spark: SparkSession, dsize: tuple[int, int]) -> DataFrame:
+    return grid(spark, *dsize)
 
 
-def affine_transform(px: DataFrame, m, dsize: tuple[int, int], flags: int | str = S.AUTO, keys: list[str] | None = None) -> DataFrame:
+def affine_transform(px: DataFrame, m, dsize: tuple[int, int], flags: int | str = S.AUTO, keys: list[str] | None = None, size: tuple[int, int] | None = None) -> DataFrame:
     """Warp every image by the matrix ``m`` (source to destination) into dsize = (height, width).
-    Positions outside are 0; values are neither converted nor clipped."""
+    ``size`` = (width, height) of all sources spares measuring them. Positions outside are 0; values
+    are neither converted nor clipped."""
     keys = keys or ["image_id"]
     mode = S.mode_of(flags)
     mode = auto_mode(m) if mode == S.AUTO else mode
     inverse = matrix_column(get_inverse_matrix(m))
-    return to_pixels(warp_planes(to_planes(px, keys), dsize, keys, mode, inverse), keys)
+    cells = _cells(px.sparkSession, dsize)
+    images = px.select(*keys).distinct()
+    if size is None:
+        return _warp(px, images.withColumn("inverse", inverse), dsize, mode, keys)
+    weights = weight_table(cells.withColumns({"inverse": inverse, "h_in": F.lit(size[1]), "w_in": F.lit(size[0])}), mode, [])
+    return _gather(px, weights, images.crossJoin(F.broadcast(cells)) if dsize[0] * dsize[1] <= 1 << 22 else images.crossJoin(cells), keys, ["sy", "sx"])
+
+
+def _warp(px: DataFrame, matrices: DataFrame, dsize: tuple[int, int], mode: int, keys: list[str]) -> DataFrame:
+    """A matrix per image: ``matrices`` has the keys and ``inverse``."""
+    h, w = dsize
+    cell = F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda i: F.struct(F.floor(i / w).cast("int").alias("y"), (i % w).cast("int").alias("x")))
+    cells = matrices.join(sizes(px, keys), keys).select(*keys, "inverse", "h_in", "w_in", F.explode(cell).alias("p")).select(*keys, "inverse", "h_in", "w_in", "p.y", "p.x")
+    return _gather(px, weight_table(cells, mode, keys), cells, keys, [*keys, "sy", "sx"])
 
 
 def affine_transform_by(px: DataFrame, matrices: DataFrame, dsize: tuple[int, int], flags: int | str = S.AUTO, keys: list[str] | None = None) -> DataFrame:
     """The same with a matrix per image: ``matrices`` has the keys and a struct column ``matrix``."""
     keys = keys or ["image_id"]
     mode = S.mode_of(flags)
-    planes = to_planes(px, keys).join(matrices.select(*keys, "matrix"), keys)
-    planes = planes.withColumn("inverse", inverse_columns(F.col("matrix")))
-    if mode != S.AUTO:
-        return to_pixels(warp_planes(planes, dsize, keys, mode), keys)
     k = F.col("matrix")
+    made = matrices.select(*keys, "matrix", inverse_columns(k).alias("inverse"))
+    if mode != S.AUTO:
+        return _warp(px, made.drop("matrix"), dsize, mode, keys)
     grows = (k["m00"] * k["m00"] + k["m10"] * k["m10"] > 1) | (k["m01"] * k["m01"] + k["m11"] * k["m11"] > 1)
-    parts = [warp_planes(planes.where(c), dsize, keys, md) for c, md in ((grows, S.MITCHELL), (~grows, S.AREA))]
-    return to_pixels(parts[0].unionByName(parts[1]), keys)
+    parts = [_warp(px, made.where(c).drop("matrix"), dsize, md, keys) for c, md in ((grows, S.MITCHELL), (~grows, S.AREA))]
+    return parts[0].unionByName(parts[1])
 
 
 def template(size: int) -> list[tuple[float, float]]:

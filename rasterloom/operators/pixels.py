@@ -16,7 +16,8 @@ def to_planes(px: DataFrame, keys: list[str]) -> DataFrame:
     """keys, height, width and one array a channel. One exchange; an image must fit into a row."""
     cs = channels(px)
     rows = px.groupBy(*keys).agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"), F.array_sort(F.collect_list(F.struct("y", "x", *cs))).alias("p"))
-    return rows.select(*keys, "height", "width", *(F.transform("p", lambda p, c=c: p[c]).alias(c) for c in cs))
+    plane = lambda c: F.transform("p", lambda p: p[c])
+    return rows.select(*keys, "height", "width", *(plane(c).alias(c) for c in cs))
 
 
 def to_pixels(planes: DataFrame, keys: list[str]) -> DataFrame:
