@@ -12,7 +12,7 @@ _NUMBER = r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?"
 def read_lut(spark: SparkSession, path: str, use_cache: bool = True) -> DataFrame:
     """(n, ri, gi, bi, r, g, b) of a .cube file; red varies fastest. Lines of three numbers are colours,
     DOMAIN and title lines are not. ``use_cache`` keeps the small table in memory."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line")).select("at", F.trim("line").alias("line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line")).select("at", F.trim("line").alias("line"))
     size = lines.where(F.col("line").startswith("LUT_3D_SIZE")).select(F.element_at(F.split("line", r"\s+"), 2).cast("int").alias("n")).first()
     if size is None:
         raise ValueError("no LUT_3D_SIZE")
