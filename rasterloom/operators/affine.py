@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -129,8 +129,10 @@ def auto_mode(m) -> int:
     return S.MITCHELL if math.hypot(a, d) > 1 or math.hypot(b, e) > 1 else S.AREA
 
 
-def _cells(spark: SparkSession, dsize: tuple[int, int]) -> DataFrame:
-    return grid(spark, *dsize)
+def _cell_array(dsize: tuple[int, int]) -> Column:
+    """All output positions (y, x) of an image."""
+    h, w = dsize
+    return F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda i: F.struct(F.floor(i / w).cast("int").alias("y"), (i % w).cast("int").alias("x")))
 
 
 def affine_transform(px: DataFrame, m, dsize: tuple[int, int], flags: int | str = S.AUTO, keys: list[str] | None = None, size: tuple[int, int] | None = None) -> DataFrame:
@@ -141,19 +143,17 @@ def affine_transform(px: DataFrame, m, dsize: tuple[int, int], flags: int | str
     mode = S.mode_of(flags)
     mode = auto_mode(m) if mode == S.AUTO else mode
     inverse = matrix_column(get_inverse_matrix(m))
-    cells = _cells(px.sparkSession, dsize)
+    cells = grid(px.sparkSession, *dsize)
     images = px.select(*keys).distinct()
     if size is None:
         return _warp(px, images.withColumn("inverse", inverse), dsize, mode, keys)
     weights = weight_table(cells.withColumns({"inverse": inverse, "h_in": F.lit(size[1]), "w_in": F.lit(size[0])}), mode, [])
-    return _gather(px, weights, images.crossJoin(F.broadcast(cells)) if dsize[0] * dsize[1] <= 1 << 22 else images.crossJoin(cells), keys, ["sy", "sx"])
+    return _gather(px, weights, images.select(*keys, F.explode(_cell_array(dsize)).alias("p")).select(*keys, "p.y", "p.x"), keys, ["sy", "sx"])
 
 
 def _warp(px: DataFrame, matrices: DataFrame, dsize: tuple[int, int], mode: int, keys: list[str]) -> DataFrame:
     """A matrix per image: ``matrices`` has the keys and ``inverse``."""
-    h, w = dsize
-    cell = F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda i: F.struct(F.floor(i / w).cast("int").alias("y"), (i % w).cast("int").alias("x")))
-    cells = matrices.join(sizes(px, keys), keys).select(*keys, "inverse", "h_in", "w_in", F.explode(cell).alias("p")).select(*keys, "inverse", "h_in", "w_in", "p.y", "p.x")
+    cells = matrices.join(sizes(px, keys), keys).select(*keys, "inverse", "h_in", "w_in", F.explode(_cell_array(dsize)).alias("p")).select(*keys, "inverse", "h_in", "w_in", "p.y", "p.x")
     return _gather(px, weight_table(cells, mode, keys), cells, keys, [*keys, "sy", "sx"])
 
 

@@ -12,6 +12,7 @@ from rasterloom.functions import color as K
 from rasterloom.functions import dtype as D
 from rasterloom.functions import sql as Q
 from rasterloom.operators import affine, arrays, chroma, filters, infer, lut, pixels, tiles, vision
+from rasterloom.operators import faces as faces_op
 from rasterloom.operators.resample import resize
 
 rng = np.random.default_rng(42)
@@ -319,3 +320,46 @@ def test_array_path_pixels(spark):
     assert np.allclose(arrays.decode_data(blurred["data"], 4, 5, 3, "float64"), arrays.blur_array(a, 3, 1.0))
     with pytest.raises(ValueError):
         arrays.decode_data(b"", 0, 0, 3, "int8")
+
+
+def fake_detector(model):
+    """One face per image at stride 8, anchor 3, a weaker copy beside it and noise below the score."""
+
+    def run(x):
+        out = []
+        for part, n in ((0, 1), (1, 4), (2, 10)):
+            for stride in (8, 16, 32):
+                cells = 2 * (64 // stride) ** 2
+                a = np.full((cells, n), 0.1 if n == 1 else 1.0, np.float32)
+                if stride == 8 and n == 1:
+                    a[40], a[41] = 0.9, 0.8
+                out.append(a)
+        return out
+
+    return run
+
+
+def test_face_chain(spark):
+    images = image_rows(spark, [rng.random((32, 64, 3)), rng.random((64, 64, 3))])
+    faces = faces_op.detect(images, model_bytes=b"x", input_size=(64, 64), backend=fake_detector)
+    rows = {r["image_id"]: r for r in faces.collect()}
+    assert set(rows) == {0, 1} and all(r["face_idx"] == 0 for r in rows.values())  # the copy is suppressed
+    cell = 40 // 2
+    x, y = cell % 8 * 8, cell // 8 * 8
+    assert (rows[1]["x1"], rows[1]["y1"], rows[1]["x2"], rows[1]["y2"]) == (x - 8, y - 8, x + 8, y + 8)
+    assert (rows[1]["kps"][0]["x"], rows[1]["kps"][0]["y"]) == (x + 8, y + 8)
+    assert faces_op.detect(images, model_bytes=b"x", input_size=(64, 64), max_num=1, metric="max", backend=fake_detector).count() == 2
+    with pytest.raises(ValueError):
+        faces_op.heads(images, model_bytes=b"x", outputs=6)
+    near = spark.createDataFrame([(i, 0, [(float(px) / 3, float(py) / 3) for px, py in affine.TEMPLATE]) for i in (0, 1)], "image_id long, face_idx int, kps array<struct<x: double, y: double>>")
+    crops, matrices = faces_op.align(images, near, 8)
+    assert crops.count() == 2 * 64 and matrices.count() == 2
+    latents = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "image_id long, latent array<double>")
+    out = faces_op.swap(images, latents, model_bytes=b"x", backend=lambda m: lambda a, z: [np.full_like(a, z[0, 0])]).collect()
+    assert {r["image_id"]: float(arrays.decode_data(r["data"], r["height"], r["width"], 3, "float32").mean()) for r in out} == {0: 1.0, 1: 0.0}
+
+
+def test_api_names():
+    from rasterloom import api
+
+    assert {"imread", "imwrite", "resize", "affine_transform", "apply_lut", "INTER_AUTO", "GaussianBlur", "Face", "nms"} <= set(api.__all__)
