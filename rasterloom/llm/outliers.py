@@ -111,9 +111,9 @@ def _grouped(stats: DataFrame, least: int) -> DataFrame:
     sizes = sizes.withColumn("own", F.col("n") >= least)
     by_lang = Window.partitionBy("_lang", "own")
     sizes = sizes.withColumn("of_lang", F.sum("n").over(by_lang)).withColumn("at", F.when(F.col("own"), 0).when(F.col("of_lang") >= least, 1).otherwise(2))
-    rest = sizes.where("at = 2").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rest"))
-    g = F.when(F.col("at") == 0, F.concat(name(F.col("_lang")), F.lit("\x01"), name(F.col("_source")))).when(F.col("at") == 1, name(F.col("_lang"))).when(F.col("rest") >= least, F.lit(""))
-    return sizes.crossJoin(F.broadcast(rest)).select("_lang", "_source", g.alias("g"))  # one row
+    rest = sizes.where("at = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    g = F.when(F.col("at") == 0, F.concat(name(F.col("_lang")), F.lit("\x01"), name(F.col("_source")))).when(F.col("at") == 1, name(F.col("_lang"))).when(F.lit(rest >= least), F.lit(""))
+    return sizes.select("_lang", "_source", g.alias("g"))
 
 
 def _quantile(df: DataFrame, keys: list[str], value: Column, q: float, step: float, out: str) -> DataFrame:
