@@ -12,11 +12,11 @@ to learn from, every document is; null doc_ids are predicted but never learned f
 false); repeated rows get equal predictions; other columns are not touched."""
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ BUCKETS, DIM = 1 << 16, 16
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 20_000
 SNIPPET = 240  # bytes, about 40 words
 REJECT_SHARE = 0.0005
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
