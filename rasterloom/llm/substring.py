@@ -298,38 +298,27 @@ def _window_roles(docs: DataFrame, anchors: DataFrame, window: int, anchor: int)
     return sent.repartition(n, "route").sortWithinPartitions("h", "doc_id", "start").mapInArrow(meet, "doc_id long, start int, rdoc long, rstart int")
 
 
-def _pieces(words: list[bytes], roles: list[dict], window: int) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(kind, shard doc or None, shard chunk, start, words) of a document: runs of reference windows
-    (kind 0) and of candidates (kind 1), each within one shard."""
-    refs = sorted({r["start"] for r in roles if r["rdoc"] is None})
-    cands = sorted({(r["start"], r["rdoc"], r["rstart"]) for r in roles if r["rdoc"] is not None})
-    top = len(words) - window
-    a = 0
-    while a < len(refs):
-        z = a
-        while z + 1 < len(refs) and refs[z + 1] == refs[z] + 1 and refs[z + 1] // CHUNK == refs[a] // CHUNK:
-            z += 1
-        if refs[a] <= top:
-            yield 0, None, refs[a] // CHUNK, refs[a], b" ".join(words[refs[a] : min(refs[z], top) + window])
-        a = z + 1
-    open_runs: dict[tuple[int, int], list[int]] = {}  # rdoc, rstart - start: first, last start
-
-    def close(key: tuple[int, int], run: list[int]) -> tuple[int, int, int, int, bytes]:
-        return 1, key[0], (run[0] + key[1]) // CHUNK, run[0], b" ".join(words[run[0] : run[1] + window])
-
-    for start, rdoc, rstart in cands:
-        if start > top:
-            continue
-        key = (rdoc, rstart - start)
-        run = open_runs.get(key)
-        if run and run[1] == start - 1 and rstart // CHUNK == (run[0] + key[1]) // CHUNK:
-            run[1] = start
-        else:
-            if run:
-                yield close(key, run)
-            open_runs[key] = [start, start]
-    for key, run in open_runs.items():
-        yield close(key, run)
+def _stretches(*breaks: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, last) of the stretches that are not parted by a break before a row."""
+    at = np.flatnonzero(np.logical_or.reduce(breaks))
+    return zip([0, *(at + 1).tolist()], [*at.tolist(), len(breaks[0])])
+
+
+def _pieces(words: list[bytes], start: np.ndarray, rdoc: np.ndarray, rstart: np.ndarray, reference: np.ndarray, window: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(kind, shard doc, shard chunk, start, words) of a document: runs of reference windows (kind 0,
+    shard doc 0) and of candidates (kind 1), each within one shard."""
+    inside = start <= len(words) - window
+    refs = np.unique(start[reference & inside])
+    if len(refs):
+        for a, z in _stretches(np.diff(refs) != 1, np.diff(refs // CHUNK) != 0):
+            yield 0, 0, int(refs[a]) // CHUNK, int(refs[a]), b" ".join(words[refs[a] : refs[z] + window])
+    pick = ~reference & inside
+    if pick.any():
+        s, d, r = start[pick], rdoc[pick], rstart[pick]
+        order = np.lexsort((s, r - s, d))
+        s, d, r = s[order], d[order], r[order]
+        for a, z in _stretches(np.diff(d) != 0, np.diff(r - s) != 0, np.diff(s) > 1, np.diff(r // CHUNK) != 0):
+            yield 1, int(d[a]), int(r[a]) // CHUNK, int(s[a]), b" ".join(words[s[a] : s[z] + window])
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -344,9 +333,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, "text"):
             rows = []
-            for key, mark, text, own in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), common.texts_of(b), b.column("roles").to_pylist()):
-                for kind, shard_doc, chunk, start, piece in _pieces(text.split(), own, window):
-                    rows.append((key if shard_doc is None else shard_doc, chunk, kind, key, start, mark, piece))
+            roles = b.column("roles")
+            ends, flat = roles.offsets.to_numpy().tolist(), roles.values
+            start, rdoc, rstart = (flat.field(k) for k in range(3))
+            reference = rdoc.is_null().to_numpy(zero_copy_only=False)
+            start, rdoc, rstart = (x.fill_null(0).to_numpy(zero_copy_only=False) for x in (start, rdoc, rstart))
+            for k, (key, mark, text) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), common.texts_of(b))):
+                own = slice(ends[k], ends[k + 1])
+                for kind, shard_doc, chunk, at, piece in _pieces(text.split(), start[own], rdoc[own], rstart[own], reference[own], window):
+                    rows.append((shard_doc if kind else key, chunk, kind, key, at, mark, piece))
             for a in range(0, len(rows), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 20_000]), (pa.int64(), pa.int32(), pa.int8(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["shard", "chunk", "kind", "doc_id", "start", "text_hash", "words"])
 
