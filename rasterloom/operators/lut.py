@@ -1,10 +1,13 @@
 """Three-dimensional look-up tables.
 
-A table of N^3 colours is bounded (N is checked), becomes one folded array constant of the plan, and is
-read by position: applying it is a projection without join or shuffle. Red is the slowest index of the
-array, blue the fastest."""
+A table of N^3 colours is bounded (N is checked) and becomes one folded constant of the plan: applying
+it is a projection without join or shuffle. Up to CELLS steps the constant holds the eight corners of each
+cell, so a pixel reads one entry and the rest is compiled arithmetic; larger tables are read corner by
+corner. Red is the slowest index, blue the fastest."""
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from ..functions.dtype import clip
 
 TRILINEAR, TETRAHEDRAL = 0, 1
 LARGEST = 129
+CELLS = 33
 
 
 def lut_values(lut: DataFrame) -> tuple[int, list[float]]:
@@ -39,37 +43,34 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _lookup(n: int, t: Column, interpolation: int, c: tuple[Column, Column, Column]) -> Column:
-    top = n - 1
-
-    def place(v: Column) -> Column:
-        s = clip(v) * float(top)
-        low = F.greatest(F.lit(0), F.least(F.floor(s).cast("int"), F.lit(n - 2 if interpolation == TRILINEAR else top)))
-        return F.struct(low.alias("i"), F.least(low + 1, F.lit(top)).alias("j"), (s - low).alias("f"))
-
-    def body(p: Column) -> Column:
-        r, g, b = p["r"], p["g"], p["b"]
-        at = lambda i, j, k, ch: F.get(t, ((i * n + j) * n + k) * 3 + ch)
-        out = []
-        for ch in range(3):
-            if interpolation == TRILINEAR:
-                mix = lambda a, z, f: a * (F.lit(1.0) - f) + z * f
-                edge = lambda j, k, ch=ch: mix(at(r["i"], j, k, ch), at(r["j"], j, k, ch), r["f"])
-                face = lambda k: mix(edge(g["i"], k), edge(g["j"], k), g["f"])
-                out.append(mix(face(b["i"]), face(b["j"]), b["f"]))
-            else:
-                x, y, z = r["f"], g["f"], b["f"]
-                corner = lambda s, ch=ch: at(r["j"] if "r" in s else r["i"], g["j"] if "g" in s else g["i"], b["j"] if "b" in s else b["i"], ch)
-                orders = {"rgb": (x >= y) & (y >= z), "rbg": (x >= z) & (z >= y), "brg": (z >= x) & (x >= y), "grb": (y >= x) & (x >= z), "gbr": (y >= z) & (z >= x)}
-                size = {"r": x, "g": y, "b": z}
-                value = lambda o: corner("") * (F.lit(1.0) - size[o[0]]) + corner(o[0]) * (size[o[0]] - size[o[1]]) + corner(o[:2]) * (size[o[1]] - size[o[2]]) + corner("rgb") * size[o[2]]
-                pick = None
-                for o, when in orders.items():
-                    pick = F.when(when, value(o)) if pick is None else pick.when(when, value(o))
-                out.append(pick.otherwise(value("bgr")))
-        return F.struct(*(v.alias(f"c{i}") for i, v in enumerate(out)))
-
-    return _let(F.struct(*(place(v).alias(k) for k, v in zip("rgb", c))), body)
+def _blend(interpolation: int, at, f: tuple[Column, Column, Column]) -> list[Column]:
+    """Three mixed channels; ``at(c, ch)`` is the value of corner c (bits red 4, green 2, blue 1 for high)."""
+    x, y, z = f
+    if interpolation == TRILINEAR:
+        mix = lambda a, b, t: a * (F.lit(1.0) - t) + b * t
+        edge = lambda c, ch: mix(at(F.lit(c), ch), at(F.lit(c + 4), ch), x)
+        face = lambda c, ch: mix(edge(c, ch), edge(c + 2, ch), y)
+        return [mix(face(0, ch), face(1, ch), z) for ch in range(3)]
+    # From the low to the high corner along the axes in falling order of their fractions.
+    top = F.when((x >= y) & (x >= z), 4).when(y >= z, 2).otherwise(1)
+    both = F.lit(7) - F.when((z <= x) & (z <= y), 1).when(y <= x, 2).otherwise(4)
+    most, least = F.greatest(x, y, z), F.least(x, y, z)
+    mid = x + y + z - most - least
+    return [at(F.lit(0), ch) * (F.lit(1.0) - most) + at(top, ch) * (most - mid) + at(both, ch) * (mid - least) + at(F.lit(7), ch) * least for ch in range(3)]
+
+
+def _cells(n: int, flat: list[float]) -> Column:
+    """Constant array: for each cell its eight corners, three channels each."""
+    rows = []
+    for i in range(n - 1):
+        for j in range(n - 1):
+            for k in range(n - 1):
+                row: list[float] = []
+                for c in range(8):
+                    p = 3 * (((i + (c >> 2)) * n + j + (c >> 1 & 1)) * n + k + (c & 1))
+                    row += flat[p : p + 3]
+                rows.append(row)
+    return F.from_json(F.lit(json.dumps(rows)), "array<array<double>>")
 
 
 def apply_lut(px: DataFrame, lut: DataFrame, interpolation: int = TRILINEAR) -> DataFrame:
@@ -77,8 +78,19 @@ def apply_lut(px: DataFrame, lut: DataFrame, interpolation: int = TRILINEAR) ->
     if interpolation not in (TRILINEAR, TETRAHEDRAL):
         raise ValueError(f"unknown interpolation {interpolation}")
     n, flat = lut_values(lut)
-    found = _let(constant(flat), lambda t: _lookup(n, t, interpolation, (F.col("c0"), F.col("c1"), F.col("c2"))))
     rest = [c for c in px.columns if c not in ("c0", "c1", "c2")]
+    place = [clip(F.col(c)) * float(n - 1) for c in ("c0", "c1", "c2")]
+    low = lambda v: F.least(F.floor(v), F.lit(n - 2)).cast("int")
+    px = px.select(*rest, *(v.alias(f"_s{i}") for i, v in enumerate(place)))
+    i, j, k = (low(F.col(f"_s{i}")) for i in range(3))
+    f = tuple(F.col(f"_s{i}") - low(F.col(f"_s{i}")) for i in range(3))
+    if n <= CELLS:
+        px = px.select(*rest, "_s0", "_s1", "_s2", F.get(_cells(n, flat), (i * (n - 1) + j) * (n - 1) + k).alias("_cell"))
+        out = _blend(interpolation, lambda c, ch: F.get(F.col("_cell"), c * 3 + ch), f)
+        return px.select(*rest, *(v.alias(f"c{c}") for c, v in enumerate(out)))
+    bit = lambda c, b: F.shiftright(c, b).bitwiseAND(F.lit(1))
+    at = lambda t: lambda c, ch: F.get(t, (((i + bit(c, 2)) * n + j + bit(c, 1)) * n + k + bit(c, 0)) * 3 + ch)
+    found = _let(constant(flat), lambda t: F.struct(*(v.alias(f"c{c}") for c, v in enumerate(_blend(interpolation, at(t), f)))))
     return px.select(*rest, found.alias("_c")).select(*rest, *(F.col(f"_c.c{i}").alias(f"c{i}") for i in range(3)))
 
 

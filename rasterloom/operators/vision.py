@@ -134,8 +134,9 @@ def paste_mask(spark: SparkSession, size: tuple[int, int]) -> DataFrame:
     return gaussian_blur(plate, max(ph, 1), float(max(ph, 1)), keys=["_m"], size=(w, h)).select("y", "x", "c0")
 
 
-def paste_back(target: DataFrame, paste: DataFrame, m, size: tuple[int, int], mask: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
-    """Blend ``paste``, warped back by the inverse of ``m``, over ``target`` of size = (height, width)."""
+def paste_back(target: DataFrame, paste: DataFrame, m, size: tuple[int, int], mask: DataFrame | None = None, keys: list[str] | None = None, paste_size: tuple[int, int] | None = None) -> DataFrame:
+    """Blend ``paste``, warped back by the inverse of ``m``, over ``target`` of size = (height, width).
+    ``paste_size`` = (height, width) of all pastes spares measuring them."""
     keys = keys or ["image_id"]
     back = get_inverse_matrix(m)
     cs = channels(target)
@@ -144,7 +145,7 @@ def paste_back(target: DataFrame, paste: DataFrame, m, size: tuple[int, int], ma
         with_mask = plain.withColumn("c90", F.lit(1.0))
     else:
         with_mask = plain.join(mask.select("y", "x", F.col("c0").alias("c90")), ["y", "x"])
-    warped = affine_transform(with_mask, back, size, keys=keys)
+    warped = affine_transform(with_mask, back, size, keys=keys, size=paste_size[::-1] if paste_size else None)
     warped = warped.select(*keys, "y", "x", F.col("c90").alias("_m"), *(F.col(c).alias(f"_{c}") for c in cs))
     both = target.join(warped, [*keys, "y", "x"], "left")
     m_ = F.coalesce("_m", F.lit(0.0))
@@ -160,7 +161,7 @@ class PasteBack:
     def get(self, target: DataFrame, paste: DataFrame, m, size: tuple[int, int], paste_size: tuple[int, int], keys: list[str] | None = None) -> DataFrame:
         if self._mask is None or self._mask[0] != paste_size:
             self._mask = paste_size, paste_mask(self.spark, paste_size)
-        return paste_back(target, paste, m, size, self._mask[1], keys)
+        return paste_back(target, paste, m, size, self._mask[1], keys, paste_size)
 
 
 def crop_faces(px: DataFrame, faces: DataFrame, size: int = 512, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

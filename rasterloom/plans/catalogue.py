@@ -327,7 +327,7 @@ def latent_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("latent_projection", latent_projection, f"WITH {X.SQL['emap']}, e AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS x FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings)), l AS (SELECT vec_id, j, sum(x * w) AS v FROM e JOIN emap USING (i) GROUP BY ALL) SELECT vec_id, j::INT AS j, round(v / sqrt(sum(v * v) OVER (PARTITION BY vec_id)), 6) + 0e0 AS v FROM l")
 add("paste_mask", lambda spark, d: rounded(vision.paste_mask(spark, (30, 35)), "c0"), T.paste_mask(30, 35))
 _PASTE = ((0.7137, 0.1312, -2.0313), (-0.1123, 0.7291, 1.0711))
-add("paste_back", lambda spark, d: rounded(vision.paste_back(_large(spark, d), X.img_embeddings(spark, d, 3), _PASTE, (24, 24), None, ["vec_id"]), "c0", "c1", "c2"), f"WITH {X.SQL['img']}, {T.LARGE}, src AS (SELECT *, 1e0 AS one FROM img), {T.warped('src', _PASTE, 8, 8, 24, 24, A.auto_mode(A.get_inverse_matrix(_PASTE)), ['c0', 'c1', 'c2', 'one'], 'z')} SELECT vec_id, y::INT AS y, x::INT AS x, " + ", ".join(f"round(z.one * z.c{i} + (1 - z.one) * big.c{i}, 6) + 0e0 AS c{i}" for i in range(3)) + " FROM big JOIN z USING (vec_id, y, x)")
+add("paste_back", lambda spark, d: rounded(vision.paste_back(_large(spark, d), X.img_embeddings(spark, d, 3), _PASTE, (24, 24), None, ["vec_id"], (8, 8)), "c0", "c1", "c2"), f"WITH {X.SQL['img']}, {T.LARGE}, src AS (SELECT *, 1e0 AS one FROM img), {T.warped('src', _PASTE, 8, 8, 24, 24, A.auto_mode(A.get_inverse_matrix(_PASTE)), ['c0', 'c1', 'c2', 'one'], 'z')} SELECT vec_id, y::INT AS y, x::INT AS x, " + ", ".join(f"round(z.one * z.c{i} + (1 - z.one) * big.c{i}, 6) + 0e0 AS c{i}" for i in range(3)) + " FROM big JOIN z USING (vec_id, y, x)")
 
 
 def to_blob(spark: SparkSession, sf_dir: str) -> DataFrame:

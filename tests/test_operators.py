@@ -204,6 +204,14 @@ def test_lut(spark):
         w = np.prod([np.where(c[k], f[..., k], 1 - f[..., k]) for k in range(3)], axis=0)
         want += w[..., None] * t[low[..., 0] + c[0], low[..., 1] + c[1], low[..., 2] + c[2]]
     assert np.abs(array_of(lut.apply_lut(px, table)) - want).max() < 1e-12
+    few = lut.CELLS
+    for mode in (lut.TRILINEAR, lut.TETRAHEDRAL):  # the way of large tables gives the same
+        cells = array_of(lut.apply_lut(px, table, mode))
+        try:
+            lut.CELLS = 0
+            assert np.abs(array_of(lut.apply_lut(px, table, mode)) - cells).max() < 1e-12
+        finally:
+            lut.CELLS = few
     with pytest.raises(ValueError):
         lut.apply_lut(px, table, 2)
     with pytest.raises(ValueError):
