@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -178,8 +179,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             out = np.array([n == "und" for n in name]) | (score < (m.floor if m else 0))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(name), pa.array(score), pa.array(out)], [*kept, "lang_pred", "score", "rejected"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    return docs.mapInArrow(run, T.StructType([*(f for f in docs.schema if f.name != "text"), *made]))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .components import components
@@ -69,7 +70,7 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(t) for t in common.texts_of(b)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("_doc"), b.column("_id"), pa.array(fps.view(np.int64))], ["_doc", "_id", "fp"])
 
-    return packed.mapInArrow(run, f"_doc {packed.schema['_doc'].dataType.simpleString()}, _id long, fp long")
+    return packed.mapInArrow(run, T.StructType([packed.schema["_doc"], T.StructField("_id", T.LongType()), T.StructField("fp", T.LongType())]))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

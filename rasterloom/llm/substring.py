@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -445,14 +446,13 @@ def remove(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataF
     columns = docs.columns
     rest = [c for c in columns if c not in ("text", "n_chars")]
     joined = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_rest")), repeated_spans(docs, window, anchor)).select("text", "_rest", "_spans")
-    rest_type = joined.schema["_rest"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, "text"):
             texts = [t if t is None else cut_words(t, _merge(s)).decode() for t, s in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("_spans").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("_rest"), pa.array(texts, pa.string())], ["_rest", "text"])
 
-    out = joined.mapInArrow(run, f"_rest {rest_type}, text string")
+    out = joined.mapInArrow(run, T.StructType([joined.schema["_rest"], T.StructField("text", T.StringType())]))
     made = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
     return out.select(*(made[c].alias(c) if c in made else F.col(f"_rest.`{c}`").alias(c) for c in columns))
 

@@ -593,3 +593,20 @@ def test_op10_odd(spark, odd, docs_of):
 def test_cut_words_keeps_the_rest():
     assert substring.cut_words(b" a b\n c  d e", [(1, 3)]) == b" a  d e"
     assert substring.cut_words(b"a b", [(0, 2)]) == b"" and substring.cut_words(b" a", []) == b" a"
+
+
+CLASHING = ["_doc", "_id", "_d", "_f", "_rest", "_spans", "_h", "fp", "ids", "part", "bucket", "key", "rows", "kept", "d2", "g", "z0", "x0", "n_words", "base_failed", "score", "lang_pred", "rejected", "value", "values", "roles", "text_hash", "media", "open", "shard", "slot", "component_id", "rep", "n", "a.b"]
+
+
+def test_extra_columns_with_clashing_names(spark, odd):
+    from pyspark.sql import functions as F
+
+    docs = odd.select("*", *(F.lit(k).alias(c) for k, c in enumerate(CLASHING)))
+    n = odd.count()
+    for made in (wavelet.read_documents(wavelet.encode(docs, queries.WORDS)), unigram.report(docs, queries.PIECES), outliers.rules(docs), jpeg.inspect(jpeg.store(docs)), simhash.near_duplicates(docs), shards.digest(shards.shuffle_to_shards(docs)), langid.identify(docs), substring.digest(docs)):
+        assert made.count() == n
+    assert packing.pack(docs, queries.WORDS).count() >= n
+    for stage in (outliers.keep, langid.keep, simhash.keep_first, substring.remove):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        assert {r["a.b"] for r in out.collect()} <= {len(CLASHING) - 1}
