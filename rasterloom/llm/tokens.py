@@ -25,7 +25,7 @@ _workers: dict[tuple, "WordTokenizer"] = {}
 class WordTokenizer:
     """Ids of texts as little-endian bytes of ``dtype``. Caches are bounded by ``max_words``."""
 
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    def __init__(self, path: str, max_words: int = 1_250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
