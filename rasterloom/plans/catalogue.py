@@ -12,9 +12,12 @@ from ..functions import color as K
 from ..functions import dtype as D
 from ..functions import sql as Q
 from ..operators import affine as A
-from ..operators import arrays, chroma, filters, lut, tiles, vision
+from ..operators import arrays, chroma, filters, infer, lut, tiles, vision
 from ..operators.resample import resize
+from ..sources import cube, images
+from ..streaming import frames
 from . import fixtures as X
+from . import scratch
 from . import sqltext as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -400,3 +403,74 @@ def array_path_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("array_path_resize", array_path_resize, ORACLES["resize_lanczos3"].replace(f" + {OFF_TIE!r}", ""))
+
+
+# --- files, models and streams ---------------------------------------------------------------------------------------
+
+
+def read_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A generated table written as text and read again."""
+    at = scratch.folder(spark, "cube")
+    cube.write_lut(X.lut_gen(spark, 5), at)
+    return rounded(cube.read_lut(spark, f"{at}/part-*", use_cache=False).select("ri", "gi", "bi", "r", "g", "b"), "r", "g", "b")
+
+
+add("read_cube", read_cube, f"WITH {X.sql_lut(5)} SELECT ri::INT AS ri, gi::INT AS gi, bi::INT AS bi, {T.rounded('r', 'g', 'b')} FROM lut")
+
+
+def _rows_of_images(spark: SparkSession, sf_dir: str, dtype: str) -> DataFrame:
+    return arrays.pixels_to_images(X.img_embeddings(spark, sf_dir, 3).withColumnRenamed("vec_id", "image_id"), dtype)
+
+
+def imread_imwrite_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images as PNG files and back."""
+    at = scratch.folder(spark, "png")
+    done = images.imwrite(_rows_of_images(spark, sf_dir, "uint8"), at, "png")
+    if done.where("not ok").count():
+        raise OSError("an image was not written")
+    back = images.imread(spark, at).withColumn("image_id", F.regexp_extract("origin", r"(\d+)\.png$", 1).cast("long"))
+    px = arrays.images_to_pixels(back.select(*S.IMAGE.fieldNames()))
+    return rounded(px.withColumnRenamed("image_id", "vec_id"), "c0", "c1", "c2")
+
+
+_BYTE = ", ".join(f"round(floor(c{i} * 255e0) / 255e0, 6) + 0e0 AS c{i}" for i in range(3))
+add("imread_imwrite_roundtrip", imread_imwrite_roundtrip, f"WITH {X.SQL['img']} SELECT vec_id, y::INT AS y, x::INT AS x, {_BYTE} FROM img")
+
+
+def double_backend(model: bytes):
+    """A stand-in for a model: every sample twice in both directions."""
+    return lambda x: x.repeat(2, axis=2).repeat(2, axis=3)
+
+
+def upscale_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infer.upscale(_rows_of_images(spark, sf_dir, "float64"), model_bytes=b"double", backend=double_backend)
+    return rounded(arrays.images_to_pixels(out).withColumnRenamed("image_id", "vec_id"), "c0", "c1", "c2")
+
+
+_SINGLE = ", ".join(f"round(c{i}::FLOAT::DOUBLE, 6) + 0e0 AS c{i}" for i in range(3))
+add("upscale_udf", upscale_udf, f"WITH {X.SQL['img']} SELECT vec_id, (y * 2 + dy)::INT AS y, (x * 2 + dx)::INT AS x, {_SINGLE} FROM img, range(2) a(dy), range(2) b(dx)")
+
+
+def stream_grayscale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels that arrive as files, through a stream into files."""
+    at = scratch.folder(spark, "stream")
+    px = X.px_lineitem(spark, sf_dir)
+    px.write.parquet(f"{at}/in")
+    out = frames.grayscale(spark.readStream.schema(px.schema).parquet(f"{at}/in")).select(*KEYS, "luma")
+    run = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return rounded(spark.read.schema(out.schema).parquet(f"{at}/out"), "luma")
+
+
+add("stream_grayscale", stream_grayscale, f"WITH {X.SQL['px']} SELECT {', '.join(KEYS)}, round({_Y}, 6) + 0e0 AS luma FROM px")
+
+
+def face_align_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detector outputs to the alignment matrix of each image's largest face."""
+    boxes = vision.decode_heads(X.heads_gen(spark, sf_dir), (32, 32), 2, 0.5).withColumn("id", F.col("anchor_idx").cast("long"))
+    best = vision.top_faces(vision.nms(boxes), 1, (32, 32), "max").select("image_id", "id")
+    out = boxes.join(best, ["image_id", "id"]).select("image_id", "id", A.crop_matrix(F.col("kps"), 112).alias("m")).select("image_id", "id", "m.*")
+    return rounded(out, *out.columns[2:])
+
+
+add("face_align_pipeline", face_align_pipeline)
