@@ -18,6 +18,7 @@ SPACE = " \t\n\x0b\x0c\r"
 #: Removes an execution's shuffle files when it ends; nothing reads them once its table is written.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: str | None = None
+_swept: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,7 +31,22 @@ def shared_dir(spark: SparkSession) -> str:
             _own = tempfile.mkdtemp(prefix="rasterloom-")
             atexit.register(shutil.rmtree, _own, True)
         root = _own
-    return f"{root.rstrip('/')}/rasterloom-{spark.sparkContext.applicationId}"
+    path = f"{root.rstrip('/')}/rasterloom-{spark.sparkContext.applicationId}"
+    if path not in _swept:
+        _swept.add(path)
+        atexit.register(_sweep, spark, path)
+    return path
+
+
+def _sweep(spark: SparkSession, path: str) -> None:
+    """Remove the application's folder when the driver's Python ends with its session still open."""
+    if spark.sparkContext._jsc is not None:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
@@ -58,9 +74,7 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_written", None)
         if path:
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(df.sparkSession, path)
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
