@@ -33,10 +33,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 from .components import components
+from .nearcopies import keep_first  # noqa: F401  the pipeline's stage, by five-word similarity
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -61,18 +61,6 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(_BIT[2 * ones > len(h)].sum(dtype=np.uint64))
 
 
-def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """_doc (all columns of ``docs``), _id and fp."""
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches, "text"):
-            fps = np.array([fingerprint(t) for t in common.texts_of(b)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("_doc"), b.column("_id"), pa.array(fps.view(np.int64))], ["_doc", "_id", "fp"])
-
-    return packed.mapInArrow(run, T.StructType([packed.schema["_doc"], T.StructField("_id", T.LongType()), T.StructField("fp", T.LongType())]))
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long), one row per document."""
 
@@ -209,15 +197,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comp = reps.join(linked, reps["rep"] == linked["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"), (F.col("n") > 1).alias("many"), F.col("component").isNotNull().alias("linked"))
     comp = common.materialize(comp.where("many or linked").select("fp", "component_id"), "components")
     return fps.join(comp, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with its own columns: of each component only the document with the least doc_id.
-    Rows with a null doc_id go if another document has or links to their fingerprint."""
-    names = near_duplicates(docs)
-    # A representative is named once for all rows of its doc_id and fingerprint.
-    gone = names.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_d"), F.col("fp").alias("_f")).distinct()
-    gone = common.materialize(gone, "copies")
-    columns = docs.columns
-    marked = with_fingerprint(docs).join(gone, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("fp") == F.col("_f")), "left_anti")
-    return marked.select("_doc.*").select(*(F.col(f"`{c}`") for c in columns))
