@@ -1,5 +1,6 @@
 """The pipeline's near-copy stage against all pairs."""
 import random
+from collections import Counter
 
 import pytest
 
@@ -60,6 +61,18 @@ def test_keep_first_takes_similarity_of_five_words(spark, docs_of, monkeypatch,
     assert sorted(r["doc_id"] for r in simhash.keep_first(docs_of(texts)).collect()) == slow_kept(rows)
 
 
+def test_one_row_of_each_group_stays(spark, odd, docs_of):
+    """Repeated rows, copies under null ids only, and one doc_id with several texts; rows are counted."""
+    word = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    row = lambda i, t, k=0: (i, t, "en", "s", None, k)
+    docs = docs_of([row(1, word("a"))] * 5 + [row(None, word("b"), k) for k in range(4)] + [row(2, word("c")), row(2, word("d")), row(2, word("c"))] + [row(3, word("e")), row(None, word("e")), row(None, word("e"))] + [row(7, word("f")), row(6, word("f")), row(6, word("f"), 1)] + [row(None, None), row(None, ""), row(None, word("g"))])
+    kept = simhash.keep_first(docs.repartition(3)).collect()
+    want = [(1, "a"), (2, "c"), (2, "d"), (3, "e"), (6, "f"), (None, ""), (None, "b"), (None, "g")]
+    assert Counter((r["doc_id"], (r["text"] or "")[:1]) for r in kept) == Counter(want)
+    kept = simhash.keep_first(odd).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 3, 4, 9, 10, 11]
+
+
 def test_ids_hold_every_id(spark):
     ids = [0, 1, 63, 64, -1, -64, (1 << 62) + 5, -(1 << 63), (1 << 24) - 1, None]
     held = nearcopies.Ids(spark.createDataFrame([(i,) for i in ids], "doc_id long"))
