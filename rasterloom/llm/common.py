@@ -22,11 +22,13 @@ _swept: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``, which every executor sees.
-    Only where that setting is absent (tests) a temporary folder of this machine stands in."""
+    """A folder of this application below ``spark.checkpoint.dir``, which every executor sees. Where
+    that setting is absent, a master on this machine alone gets a temporary folder; any other raises."""
     global _own
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if _own is None:
             _own = tempfile.mkdtemp(prefix="rasterloom-")
             atexit.register(shutil.rmtree, _own, True)
@@ -53,17 +55,23 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def write(df: DataFrame, path: str, *folders: str) -> None:
+    """Write Parquet files, and remove the shuffle files of the step once it has ended."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").partitionBy(*folders).parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: lineage is cut at files
-    that outlive any executor, and the shuffle files of the finished step are removed."""
+    that outlive any executor."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    write(df, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out

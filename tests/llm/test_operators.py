@@ -390,23 +390,88 @@ def test_components_of_star_chain_and_loop(spark):
 # --- 6
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of ints (as numpy types) in a row; null leaves the hash as it is."""
+    h = 42
+    for v in values:
+        h = h if v is None else xxhash.xxh64_intdigest(v.tobytes(), h)
+    return h
+
+
+def mersenne_shuffle(n, seed):
+    """Fisher-Yates inside out, with a Mersenne Twister seeded by the two halves of a long."""
+    draw = np.random.RandomState(np.array([seed >> 32 & 0xFFFFFFFF, seed & 0xFFFFFFFF], np.uint32))
+
+    def below(k):
+        while True:
+            bits = int(draw.randint(0, 1 << 32, dtype=np.uint32)) >> 1
+            if k & (k - 1) == 0:
+                return k * bits >> 31
+            if bits - bits % k + k - 1 < 1 << 31:
+                return bits % k
+
+    out = []
+    for i in range(n):
+        j = below(i + 1)
+        out.append(out[j] if j < i else i)
+        out[j] = i
+    return out
+
+
+def slow_shards(rows, number, seed, bucket_bytes):
+    """(shard, slot, doc_id, text) by scatter and permutation."""
+    total = sum(len((t or "").encode()) + shards.ROW for _, t in rows)
+    buckets = max(1, -(-total // bucket_bytes))
+    held = [[] for _ in range(buckets)]
+    for d, t in rows:
+        h = spark_hash(np.int32(seed), None if d is None else np.int64(d), np.int64(zlib.crc32((t or "").encode())))
+        h -= (h >> 63) << 64
+        held[h % buckets].append((h, -(1 << 63) if d is None else d, d, t))
+    g, out = 0, []
+    for b, own in enumerate(held):
+        own.sort(key=lambda x: x[:2])
+        for (_, _, d, t), new in zip(own, mersenne_shuffle(len(own), seed + b)):
+            place = g + new
+            shard = place * number // len(rows)
+            out.append((shard, place - -(-shard * len(rows) // number), d, t))
+        g += len(own)
+    return out
+
+
 def test_op6(spark, odd, docs_of):
     docs = docs_of([sentence(rng.randint(0, 30)) for _ in range(203)]).unionByName(odd)
-    rows = shards.digest(shards.shuffle_to_shards(docs, bucket_bytes=2000)).collect()
-    again = shards.digest(shards.shuffle_to_shards(docs.repartition(3), bucket_bytes=2000)).collect()
+    for size in (8000, 400_000):
+        placed = shards.shuffle_to_shards(docs.repartition(3), bucket_bytes=size)
+        got = Counter((r["shard"], r["slot"], r["doc_id"], r["text"]) for r in placed.collect())
+        assert got == Counter(slow_shards([(r["doc_id"], r["text"]) for r in docs.collect()], 8, shards.SEED, size))
+    rows = shards.digest(placed).collect()
     n = docs.count()
     counts = Counter(r["shard"] for r in rows)
-    assert len(rows) == n and set(counts) == set(range(8)) and max(counts.values()) - min(counts.values()) <= 1
+    assert set(counts) == set(range(8)) and max(counts.values()) - min(counts.values()) <= 1
     for s in counts:
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(counts[s]))
     want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in docs.collect())
-    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == want
-    assert Counter(map(tuple, rows)) == Counter(map(tuple, again))  # order depends on content and seed only
+    assert len(rows) == n and Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == want
     assert shards.shuffle_to_shards(docs_of([])).count() == 0
     order = [r["doc_id"] for r in sorted(rows, key=lambda r: (r["shard"], r["slot"])) if r["doc_id"] is not None]
     assert order != sorted(order)
 
 
+def test_op6_equal_rows_are_spread(spark, tmp_path):
+    """Half of the rows are equal: they lie in many buckets, files keep slot order, slots have no gaps."""
+    rows = [(1, "same text", "x")] * 3000 + [(i, f"text {i}", "x") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    shards.write_shards(docs, str(tmp_path / "out"), shards=3, bucket_bytes=8000)
+    files = list((tmp_path / "out").glob("shard=*/*.parquet"))
+    assert len(files) > 20
+    for f in files:
+        slots = [r["slot"] for r in spark.read.parquet(str(f)).collect()]
+        assert slots == list(range(slots[0], slots[0] + len(slots))) and len(slots) < 1000
+    back = shards.read_shards(spark, str(tmp_path / "out")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in back) == Counter((d, t) for d, t, _ in rows)
+    assert sorted((r["shard"], r["slot"]) for r in back) == [(s, k) for s in range(3) for k in range(2000)]
+
+
 # --- 7
 
 
