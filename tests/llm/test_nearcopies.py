@@ -2,9 +2,11 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from rasterloom.llm import nearcopies, simhash
+from rasterloom.llm import common, nearcopies, simhash
 
 rng = random.Random(11)
 
@@ -38,11 +40,10 @@ def edited(text, n):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("dense", [nearcopies.DENSE, -1, 1 << 40])
-def test_keep_first_takes_similarity_of_five_words(spark, docs_of, monkeypatch, dense):
-    """Groups with scattered edits around the bound, chains, a large group, copies and short texts; by
-    all pairs at once and by rounds of one."""
-    monkeypatch.setattr(nearcopies, "DENSE", dense)
+@pytest.mark.parametrize("cell", [nearcopies.CELL, 4])
+def test_keep_first_takes_similarity_of_five_words(spark, docs_of, monkeypatch, cell):
+    """Groups with scattered edits around the bound, chains, a large group, copies and short texts."""
+    monkeypatch.setattr(nearcopies, "CELL", cell)
     pool = [f"tok{i}" for i in range(4000)]
     texts = []
     for size in (2, 3, 3, 4, 5, 5, 40):
@@ -61,6 +62,30 @@ def test_keep_first_takes_similarity_of_five_words(spark, docs_of, monkeypatch,
     assert sorted(r["doc_id"] for r in simhash.keep_first(docs_of(texts)).collect()) == slow_kept(rows)
 
 
+def test_shared_shingles(monkeypatch):
+    monkeypatch.setattr(nearcopies, "COLUMNS", 5)
+    sets = [np.array(sorted(rng.sample(range(40), rng.randint(1, 20))), np.int64) for _ in range(12)] + [np.array([99], np.int64)]
+    got = nearcopies.shared_shingles(sets[:7], sets)
+    assert got.tolist() == [[len(set(a) & set(b)) for b in sets] for a in sets[:7]]
+    assert nearcopies.shared_shingles(sets[:1], sets[-1:]).tolist() == [[0]]
+
+
+def test_no_pair_of_a_block_stays_undecided(spark, docs_of, monkeypatch):
+    """Every text lies in one block, so all but its anchors are decided in cells."""
+    monkeypatch.setattr(nearcopies, "CELL", 8)
+    pool = [f"tok{i}" for i in range(900)]
+    bases = [" ".join(rng.choice(pool) for _ in range(80)) for _ in range(12)]
+    texts = [edited(rng.choice(bases), rng.randint(0, 5)) for _ in range(90)]
+    docs = docs_of(texts)
+    rows = common.materialize(nearcopies.keyed(docs).withColumn("keys", F.array(F.lit(5).cast("long"))), "one-block")
+    component = {r["node"]: r["component"] for r in nearcopies.links(docs, rows).collect()}
+    first = {}
+    for r in sorted(rows.collect()):
+        first.setdefault(component.get(r["sig"], r["sig"]), r["doc_id"])
+    assert sorted(first.values()) == slow_kept(dict(enumerate(texts)))
+    assert 12 <= len(first) < 80
+
+
 def test_one_row_of_each_group_stays(spark, odd, docs_of):
     """Repeated rows, copies under null ids only, and one doc_id with several texts; rows are counted."""
     word = lambda k: " ".join(f"{k}w{i}" for i in range(60))
