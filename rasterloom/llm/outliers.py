@@ -7,10 +7,19 @@ take concentration steps onto the ``share`` of rows with the least distance, and
 smaller determinant wins. Documents whose squared Mahalanobis distance is beyond the chi-square
 quantile are rejected.
 
+Groups of every size are estimated alike: a group's medians, deviations and moments count with its
+rows, those of its language with ``PRIOR`` rows more, which in turn count those of all documents with
+``PRIOR`` rows (and these a unit normal distribution). A source of ten documents is judged mostly by
+its language, one of ten thousand by itself, and nothing changes at a size.
+
 Every quantile comes from counts on a fixed grid, so it covers all rows, is the same at every
 partitioning and needs no more than a partial count per task; groups of any size (a third of all
-rows) only send sums. Groups with fewer than ``least`` survivors of the base rules pool: first all
-such sources of a language, then all such languages; below that nothing is estimated or rejected.
+rows) only send sums.
+
+Constants: ``RIDGE`` is the variance, in units of the scales, that every value has besides its
+scatter (so that a constant value, such as no repeated lines, keeps a spread); it is added after the
+scatter of the closest share is made consistent. ``TAIL`` is the share of a normal distribution that
+the cut rejects: far smaller than usual, since text statistics have heavier tails than that.
 
 Defined results: null or empty text has no words and fails the base rules; null lang and source are
 groups of their own; repeated rows are judged alike; an empty table gives no rows; columns of other
@@ -27,12 +36,12 @@ from . import common
 P = 5
 STEPS = 4
 SHARE = 0.75
-LEAST = 200
+PRIOR = 100
 TAIL = 1e-9
-GRID = 1e-3
+GRID = 0.01
+STEP = 0.005
 #: Smallest scale of each value: below it, differences say nothing about quality.
 FLOORS = (0.5, 0.1, 0.15, 0.15, 0.15)
-#: Ridge on the scatter in units of those scales, so that a constant value keeps a spread.
 RIDGE = 0.3
 SYMBOLS = "#*$%&|<>"
 _WS = "[ \\t-\\r]+"
@@ -95,52 +104,81 @@ def base_columns(text: Column) -> Column:
 
 
 def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The base statistics and verdict of every document, and the vector x0..x4; one narrow pass."""
-    df = docs.select(*keep, F.col("lang").cast("string").alias("_lang"), F.col("source").cast("string").alias("_source"), base_columns(F.col("text")).alias("_b"))
-    df = df.select(*keep, "_lang", "_source", "_b.w.n_words", "_b.w.word_chars", "_b.n_symbols", "_b.l.n_dup_lines", "_b.w.n_repeat_words", "_b.l.n_lines")
+    """The base statistics and verdict of every document, its group ``g`` (language and source), the
+    group's language ``p``, and the vector x0..x4; one narrow pass."""
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    df = docs.select(*keep, F.concat(name("lang"), F.lit("\x01"), name("source")).alias("g"), name("lang").alias("p"), base_columns(F.col("text")).alias("_b"))
+    df = df.select(*keep, "g", "p", "_b.w.n_words", "_b.w.word_chars", "_b.n_symbols", "_b.l.n_dup_lines", "_b.w.n_repeat_words", "_b.l.n_lines")
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     values = [F.log(n), F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n), F.sqrt(F.col("n_symbols") / n), F.sqrt(F.col("n_repeat_words") / n), F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)))]
     return df.select("*", *(v.cast("double").alias(f"x{i}") for i, v in enumerate(values)))
 
 
-def _grouped(stats: DataFrame, least: int) -> DataFrame:
-    """(_lang, _source) to the group ``g`` that it is estimated in, null for none."""
-    sizes = stats.where(~F.col("base_failed")).groupBy("_lang", "_source").agg(F.count("*").alias("n"))
-    name = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
-    sizes = sizes.withColumn("own", F.col("n") >= least)
-    by_lang = Window.partitionBy("_lang", "own")
-    sizes = sizes.withColumn("of_lang", F.sum("n").over(by_lang)).withColumn("at", F.when(F.col("own"), 0).when(F.col("of_lang") >= least, 1).otherwise(2))
-    rest = sizes.where("at = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    g = F.when(F.col("at") == 0, F.concat(name(F.col("_lang")), F.lit("\x01"), name(F.col("_source")))).when(F.col("at") == 1, name(F.col("_lang"))).when(F.lit(rest >= least), F.lit(""))
-    return sizes.select("_lang", "_source", g.alias("g"))
+_IJ = [(i, j) for i in range(P) for j in range(i + 1)]
+_L = [f"l_{i}_{j}" for i, j in _IJ]
+_M = [f"m{i}" for i in range(P)]
+_Z = [f"z{i}" for i in range(P)]
+#: A normal distribution is this much wider than its share closest to the centre.
+FACTOR = SHARE / _gamma_p((P + 2) / 2, chi2_quantile(SHARE, P) / 2)
 
 
-def _quantile(df: DataFrame, keys: list[str], value: Column, q: float, step: float, out: str) -> DataFrame:
-    """Middle of the first cell of width ``step`` below which a share ``q`` of a key's rows lies."""
-    cells = df.select(*keys, F.floor(value / step).alias("_cell")).groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
+def _cut(cells: DataFrame, keys: list[str], q: float) -> DataFrame:
+    """Per key, of (keys, cell, n) the cell in which the quantile lies, with ``upto`` and ``all`` counts."""
     w = Window.partitionBy(*keys)
-    cells = cells.withColumn("_upto", F.sum("_n").over(w.orderBy("_cell"))).withColumn("_all", F.sum("_n").over(w))
-    return cells.where(F.col("_upto") >= q * F.col("_all")).groupBy(*keys).agg(((F.min("_cell") + 0.5) * step).alias(out))
-
-
-def _wide(df: DataFrame, value: str, name: str) -> DataFrame:
-    return df.groupBy("g").agg(*(F.max(F.when(F.col("i") == i, F.col(value))).alias(f"{name}{i}") for i in range(P)))
-
-
-def _tall(df: DataFrame, values: list[Column]) -> DataFrame:
-    return df.select("g", F.posexplode(F.array(*values)).alias("i", "v"))
+    cells = cells.withColumn("upto", F.sum("n").over(w.orderBy("cell"))).withColumn("all", F.sum("n").over(w))
+    return cells.where((F.col("upto") >= q * F.col("all")) & (F.col("upto") - F.col("n") < q * F.col("all")))
+
+
+def _median(rows: DataFrame, values: list[Column], name: str) -> DataFrame:
+    """(g, name0, name1, ...): per group the medians of the values, pulled to those of its language and
+    of all rows. A median lies within its cell of width ``GRID`` as if the cell were evenly filled."""
+    tall = rows.select("g", "p", F.posexplode(F.array(*values)).alias("i", "v"))
+    cells = tall.groupBy("g", "p", "i", F.floor(F.col("v") / GRID).alias("cell")).agg(F.count("*").alias("n"))
+
+    def level(keys: list[str], tag: str) -> DataFrame:
+        summed = cells.groupBy(*keys, "cell").agg(F.sum("n").alias("n"))
+        inside = (0.5 * F.col("all") - F.col("upto") + F.col("n")) / F.col("n")
+        return _cut(summed, keys, 0.5).select(*keys, ((F.col("cell") + inside) * GRID).alias(f"v_{tag}"), F.col("all").alias(f"n_{tag}"))
+
+    df = level(["g", "p", "i"], "g").join(level(["p", "i"], "p"), ["p", "i"]).join(level(["i"], "all"), "i")
+    of_p = (F.col("n_p") * F.col("v_p") + PRIOR * F.col("v_all")) / (F.col("n_p") + PRIOR)
+    of_g = F.round((F.col("n_g") * F.col("v_g") + PRIOR * of_p) / (F.col("n_g") + PRIOR), 9)
+    return df.groupBy("g").agg(*(F.max(F.when(F.col("i") == i, of_g)).alias(f"{name}{i}") for i in range(P)))
+
+
+def _moments(rows: DataFrame, values: list[str], start: Column) -> DataFrame:
+    """(g, start, m_i, c_i_j): mean and covariance of each group's rows, with the sums of its language and
+    of all rows at the weight of ``PRIOR`` rows. Rounded, so that the order of additions does not show."""
+    names = ["n", *(f"s{i}" for i in range(P)), *(f"q_{i}_{j}" for i, j in _IJ)]
+    terms = [F.lit(1.0), *(F.col(v) for v in values), *(F.col(values[i]) * F.col(values[j]) for i, j in _IJ)]
+    unit = [1.0, *[0.0] * P, *(1.0 if i == j else 0.0 for i, j in _IJ)]
+    own = rows.select("g", "p", start.alias("start"), *(t.alias(k) for k, t in zip(names, terms))).groupBy("g", "p", "start").agg(*(F.sum(k).alias(k) for k in names))
+
+    def pulled(sums: DataFrame, keys: list[str], to: DataFrame | None, on: list[str]) -> DataFrame:
+        """Means of the sums after ``PRIOR`` rows like those of ``to`` are added."""
+        if to is None:
+            df, other = sums, [F.lit(u) for u in unit]
+        else:
+            df, other = sums.join(to, on), [F.col(f"_{k}") for k in names]
+        return df.select(*keys, *(((F.col(k) + PRIOR * o) / (F.col("n") + PRIOR)).alias(f"_{k}") for k, o in zip(names, other)))
+
+    total = lambda keys: own.groupBy(*keys).agg(*(F.sum(k).alias(k) for k in names))
+    every = pulled(total(["start"]), ["start"], None, [])
+    lang = pulled(total(["p", "start"]), ["p", "start"], every, ["start"])
+    df = pulled(own, ["g", "start"], lang, ["p", "start"])
+    r = lambda c: F.round(c, 9)
+    return df.select("g", "start", *(r(F.col(f"_s{i}")).alias(f"m{i}") for i in range(P)), *(r(F.col(f"_q_{i}_{j}") - F.col(f"_s{i}") * F.col(f"_s{j}")).alias(f"c_{i}_{j}") for i, j in _IJ))
 
 
-def _cholesky(df: DataFrame, cov: str = "c") -> DataFrame:
-    """Columns l_i_j (lower factor of c_i_j plus a small ridge) and logdet."""
-    for i in range(P):
-        for j in range(i + 1):
-            v = F.col(f"{cov}_{i}_{j}") + F.lit(RIDGE if i == j else 0.0)
-            for k in range(j):
-                v = v - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            df = df.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(v, F.lit(1e-9))) if i == j else v / F.col(f"l_{j}_{j}"))
-    return df.withColumn("logdet", sum((2 * F.log(F.col(f"l_{i}_{i}")) for i in range(P)), F.lit(0.0)))
+def _cholesky(df: DataFrame, factor: float) -> DataFrame:
+    """(g, start, m_i, l_i_j, logdet): the lower factor of c_i_j / factor plus the ridge."""
+    for i, j in _IJ:
+        v = F.col(f"c_{i}_{j}") / factor + F.lit(RIDGE if i == j else 0.0)
+        for k in range(j):
+            v = v - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
+        df = df.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(v, F.lit(1e-9))) if i == j else v / F.col(f"l_{j}_{j}"))
+    return df.select("g", "start", *_M, *_L, sum((2 * F.log(F.col(f"l_{i}_{i}")) for i in range(P)), F.lit(0.0)).alias("logdet"))
 
 
 def _distance(df: DataFrame) -> DataFrame:
@@ -153,61 +191,42 @@ def _distance(df: DataFrame) -> DataFrame:
     return df.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(P)), F.lit(0.0))).drop(*(f"y{i}" for i in range(P)))
 
 
-def _moments(df: DataFrame, values: list[str], keys: list[str]) -> DataFrame:
-    """Mean m_i and covariance c_i_j of the rows of each key, from rounded sums (the order of
-    additions does not show)."""
-    sums = [F.sum(v).alias(f"s{i}") for i, v in enumerate(values)]
-    sums += [F.sum(F.col(values[i]) * F.col(values[j])).alias(f"q_{i}_{j}") for i in range(P) for j in range(i + 1)]
-    agg = df.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
-    r = lambda c: F.round(c, 9)
-    mean = lambda i: F.col(f"s{i}") / F.col("n")
-    return agg.select(*keys, *(r(mean(i)).alias(f"m{i}") for i in range(P)), *(r(F.col(f"q_{i}_{j}") / F.col("n") - mean(i) * mean(j)).alias(f"c_{i}_{j}") for i in range(P) for j in range(i + 1)))
-
-
-_L = [f"l_{i}_{j}" for i in range(P) for j in range(i + 1)]
-_M = [f"m{i}" for i in range(P)]
-_Z = [f"z{i}" for i in range(P)]
+def _scores(df: DataFrame) -> list[Column]:
+    return [((F.col(f"x{i}") - F.col(f"b{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i in range(P)]
 
 
-def fit(stats: DataFrame, share: float = SHARE, least: int = LEAST, steps: int = STEPS) -> DataFrame:
-    """One row per (_lang, _source): the group's centre and scale (b_i, s_i) and its estimate
-    (m_i, l_i_j) in those units. ``stats`` should be a written table: it is read once a step."""
-    groups = common.materialize(_grouped(stats, least), "mcd-groups")
-    rows = stats.where(~F.col("base_failed")).join(groups.withColumnsRenamed({"_lang": "_l", "_source": "_s"}), F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s"))).where("g is not null").select("g", *(f"x{i}" for i in range(P)))
-    rows = common.materialize(rows, "mcd-rows")
-    mid = _wide(_quantile(_tall(rows, [F.col(f"x{i}") for i in range(P)]), ["g", "i"], F.col("v"), 0.5, GRID, "b"), "b", "b")
-    mid = common.materialize(mid, "mcd-centre")
+def fit(stats: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
+    """One row per group with survivors of the base rules: its centre and scale (b_i, s_i) and its
+    estimate (m_i, l_i_j) in those units. ``stats`` should be a written table: it is read three times,
+    and the scores of its rows twice a step."""
+    rows = stats.where(~F.col("base_failed")).select("g", "p", *(f"x{i}" for i in range(P)))
+    mid = common.materialize(_median(rows, [F.col(f"x{i}") for i in range(P)], "b"), "mcd-centre")
     away = rows.join(mid, "g")
-    dev = _wide(_quantile(_tall(away, [F.abs(F.col(f"x{i}") - F.col(f"b{i}")) for i in range(P)]), ["g", "i"], F.col("v"), 0.5, GRID, "s"), "s", "s")
-    scale = mid.join(dev, "g").select("g", *(f"b{i}" for i in range(P)), *(F.greatest(1.4826 * F.col(f"s{i}"), F.lit(f)).alias(f"s{i}") for i, f in enumerate(FLOORS)))
+    dev = _median(away, [F.abs(F.col(f"x{i}") - F.col(f"b{i}")) for i in range(P)], "d")
+    scale = mid.join(dev, "g").select("g", *(f"b{i}" for i in range(P)), *(F.greatest(1.4826 * F.col(f"d{i}"), F.lit(f)).alias(f"s{i}") for i, f in enumerate(FLOORS)))
     scale = common.materialize(scale, "mcd-scale")
-    z = rows.join(scale, "g").select("g", *(((F.col(f"x{i}") - F.col(f"b{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i in range(P)))
-    z = common.materialize(z, "mcd-z")
+    z = common.materialize(rows.join(scale, "g").select("g", "p", *_scores(rows)), "mcd-z")
     # Starts: unit scatter, and the correlation of tanh scores.
-    tanh = _moments(z.select("g", *(F.tanh(f"z{i}").alias(f"t{i}") for i in range(P))), [f"t{i}" for i in range(P)], ["g"])
-    cor = {(i, j): F.lit(1.0) if i == j else F.col(f"c_{i}_{j}") / F.sqrt(F.greatest(F.col(f"c_{i}_{i}") * F.col(f"c_{j}_{j}"), F.lit(1e-6))) for i in range(P) for j in range(i + 1)}
-    unit = {(i, j): F.lit(1.0 if i == j else 0.0) for i, j in cor}
-    starts = [tanh.select("g", F.lit(k).alias("start"), *(F.lit(0.0).alias(m) for m in _M), *(c.alias(f"c_{i}_{j}") for (i, j), c in cov.items())) for k, cov in enumerate((unit, cor))]
-    est = common.materialize(_cholesky(starts[0].unionByName(starts[1])).select("g", "start", *_M, *_L, "logdet"), "mcd-start")
-    step = 0.005
+    tanh = _moments(z.select("g", "p", *(F.tanh(k).alias(k) for k in _Z)), _Z, F.lit(1))
+    cor = {(i, j): F.lit(1.0) if i == j else F.col(f"c_{i}_{j}") / F.sqrt(F.greatest(F.col(f"c_{i}_{i}") * F.col(f"c_{j}_{j}"), F.lit(1e-6))) for i, j in _IJ}
+    unit = {(i, j): F.lit(1.0 if i == j else 0.0) for i, j in _IJ}
+    both = tanh.select("g", F.explode(F.array(*(F.struct(F.lit(k).alias("start"), *(c.alias(f"c_{i}_{j}") for (i, j), c in cov.items())) for k, cov in enumerate((unit, cor))))).alias("e"))
+    est = common.materialize(_cholesky(both.select("g", "e.*", *(F.lit(0.0).alias(m) for m in _M)), 1.0), "mcd-start")
     for _ in range(steps):
-        d = _distance(z.join(est.drop("logdet"), "g")).withColumn("d", F.log1p("d2"))
-        cut = common.materialize(_quantile(d, ["g", "start"], F.col("d"), share, step, "cut"), "mcd-cut")
-        inside = d.join(cut, ["g", "start"]).where(F.floor(F.col("d") / step) <= F.floor(F.col("cut") / step))
-        est = common.materialize(_cholesky(_moments(inside, _Z, ["g", "start"])).select("g", "start", *_M, *_L, "logdet"), "mcd-step")
+        d = _distance(z.join(est.drop("logdet"), "g")).withColumn("cell", F.floor(F.log1p("d2") / STEP))
+        cells = d.groupBy("g", "start", "cell").agg(F.count("*").alias("n"))
+        cut = common.materialize(_cut(cells, ["g", "start"], share).select("g", "start", F.col("cell").alias("last")), "mcd-cut")
+        inside = d.join(cut, ["g", "start"]).where("cell <= last")
+        est = common.materialize(_cholesky(_moments(inside, _Z, F.col("start")), FACTOR), "mcd-step")
     best = est.groupBy("g").agg(F.min_by(F.struct(*_M, *_L), F.struct("logdet", "start")).alias("e")).select("g", "e.*")
-    return common.materialize(groups.join(scale, "g").join(best, "g").select("_lang", "_source", *(f"{k}{i}" for k in "bs" for i in range(P)), *_M, *_L), "mcd-estimate")
+    return common.materialize(scale.join(best, "g"), "mcd-estimate")
 
 
-def judge(stats: DataFrame, estimate: DataFrame, share: float = SHARE, tail: float = TAIL) -> DataFrame:
-    """``stats`` with d2 (squared distance, null where nothing was estimated) and kept."""
+def judge(stats: DataFrame, estimate: DataFrame, tail: float = TAIL) -> DataFrame:
+    """``stats`` with d2 (squared distance, null where the whole group failed the base rules) and kept."""
     limit = chi2_quantile(1 - tail, P)
-    # Covariance of the closest share, made consistent with that of a normal distribution.
-    factor = share / _gamma_p((P + 2) / 2, chi2_quantile(share, P) / 2)
-    e = estimate.withColumnsRenamed({"_lang": "_l", "_source": "_s"})
-    df = stats.join(e, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left")
-    df = df.select(*stats.columns, *(((F.col(f"x{i}") - F.col(f"b{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i in range(P)), *_M, *_L)
-    df = _distance(df).withColumn("d2", F.round(F.col("d2") / factor, 6))
+    df = stats.join(estimate, "g", "left").select(*stats.columns, *_scores(stats), *_M, *_L)
+    df = _distance(df).withColumn("d2", F.round("d2", 6))
     return df.select(*stats.columns, "d2", (~F.col("base_failed") & ~F.coalesce(F.col("d2") > limit, F.lit(False))).alias("kept"))
 
 
@@ -219,10 +238,8 @@ def rules(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns. The statistics are computed anew beside
-    the text, so no text is shuffled and rows need no key."""
-    stats = common.materialize(statistics(docs, ()), "mcd-statistics")
-    own = docs.columns
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("_doc"), *(F.col(c) for c in ("text", "lang", "source")))
-    judged = judge(statistics(packed, ("_doc",)), fit(stats))
-    return judged.where("kept").select("_doc.*")
+    """The documents that pass, with their own columns. Documents and statistics are written side by
+    side: the estimate reads the statistics alone, and the verdict needs neither a key nor a shuffle."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), *(F.col(c) for c in ("text", "lang", "source")))
+    stats = common.materialize(statistics(packed, ("_doc",)), "mcd-statistics")
+    return judge(stats, fit(stats)).where("kept").select("_doc.*")

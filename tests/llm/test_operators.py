@@ -148,29 +148,63 @@ def base(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(hit)
 
 
-def mcd(vectors):
-    """The estimate by numpy: starts, steps and grid as documented."""
-    x = np.array(vectors)
-    grid = outliers.GRID
-    mid = lambda v, q, step: (np.sort(np.floor(v / step))[int(np.ceil(q * len(v))) - 1] + 0.5) * step
-    b = np.array([mid(x[:, i], 0.5, grid) for i in range(outliers.P)])
-    s = np.array([max(1.4826 * mid(np.abs(x[:, i] - b[i]), 0.5, grid), outliers.FLOORS[i]) for i in range(outliers.P)])
-    z = (x - b) / s
-    t = np.tanh(z)
-    cov = np.cov(t.T, bias=True)
-    d = np.sqrt(np.maximum(np.outer(np.diag(cov), np.diag(cov)), 1e-6))
+def mcd(vectors, groups):
+    """Squared distances by numpy: starts, steps, pulls and grid as documented. Groups are (p, g)."""
+    x, k = np.array(vectors), outliers.PRIOR
+    langs, own = np.array([p for p, _ in groups]), np.array([f"{p} {g}" for p, g in groups])
+
+    def pulled(value, n, parent):
+        return (n * value + k * parent) / (n + k)
+
+    def median(v):
+        cell = np.sort(np.floor(v / outliers.GRID))
+        at = cell[int(np.ceil(0.5 * len(v))) - 1]
+        return (at + (0.5 * len(v) - (cell < at).sum()) / (cell == at).sum()) * outliers.GRID
+
+    def medians(v):
+        out = np.empty_like(v)
+        for i in range(outliers.P):
+            top = median(v[:, i])
+            for g in set(own):
+                of_lang = langs == langs[own == g][0]
+                lang = pulled(median(v[of_lang, i]), of_lang.sum(), top)
+                out[own == g, i] = pulled(median(v[own == g, i]), (own == g).sum(), lang)
+        return out
+
+    def moments(z, inside):
+        """Per row, mean and covariance of its group."""
+        both = np.concatenate([z, np.einsum("ni,nj->nij", z, z).reshape(len(z), -1)], axis=1)
+        unit = np.concatenate([np.zeros(outliers.P), np.eye(outliers.P).ravel()])
+        out = np.empty_like(both)
+        mean = lambda pick, to: (both[pick].sum(axis=0) + k * to) / (pick.sum() + k)
+        top = mean(inside, unit)
+        for g in set(own):
+            lang = mean(inside & (langs == langs[own == g][0]), top)
+            out[own == g] = mean(inside & (own == g), lang)
+        m = out[:, : outliers.P]
+        return m, out[:, outliers.P :].reshape(-1, outliers.P, outliers.P) - np.einsum("ni,nj->nij", m, m)
+
+    b = medians(x)
+    s = np.maximum(1.4826 * medians(np.abs(x - b)), outliers.FLOORS)
+    z, every, ridge = (x - b) / s, np.ones(len(x), bool), np.eye(outliers.P) * outliers.RIDGE
+    _, cov = moments(np.tanh(z), every)
+    var = np.einsum("nii->ni", cov)
+    cor = cov / np.sqrt(np.maximum(np.einsum("ni,nj->nij", var, var), 1e-6))
+    cor[:, np.arange(outliers.P), np.arange(outliers.P)] = 1
+    distance = lambda m, c: np.einsum("ni,nij,nj->n", z - m, np.linalg.inv(c), z - m)
     found = []
-    for k, c in enumerate((np.eye(outliers.P), np.where(np.eye(outliers.P) > 0, 1.0, cov / d))):
-        m, ridge = np.zeros(outliers.P), np.eye(outliers.P) * outliers.RIDGE
+    for c in (np.broadcast_to(np.eye(outliers.P), cor.shape), cor):
+        m, c = np.zeros_like(z), c + ridge
         for _ in range(outliers.STEPS):
-            d2 = np.einsum("ni,ij,nj->n", z - m, np.linalg.inv(c + ridge), z - m)
-            cell = np.floor(np.log1p(d2) / 0.005)
-            inside = cell <= np.sort(cell)[int(np.ceil(outliers.SHARE * len(cell))) - 1]
-            m, c = z[inside].mean(axis=0), np.cov(z[inside].T, bias=True)
-        found.append((np.linalg.slogdet(c + ridge)[1], k, m, c + ridge))
-    _, _, m, c = min(found, key=lambda f: f[:2])
-    factor = outliers.SHARE / outliers._gamma_p((outliers.P + 2) / 2, outliers.chi2_quantile(outliers.SHARE, outliers.P) / 2)
-    return np.einsum("ni,ij,nj->n", z - m, np.linalg.inv(c), z - m) / factor
+            cell = np.floor(np.log1p(distance(m, c)) / outliers.STEP)
+            inside = np.zeros(len(z), bool)
+            for g in set(own):
+                mine = own == g
+                inside |= mine & (cell <= np.sort(cell[mine])[int(np.ceil(outliers.SHARE * mine.sum())) - 1])
+            m, c = moments(z, inside)
+            c = c / outliers.FACTOR + ridge
+        found.append((np.linalg.slogdet(c)[1], distance(m, c)))
+    return np.where(found[0][0] <= found[1][0], found[0][1], found[1][1])
 
 
 def vector(b, lines):
@@ -178,12 +212,16 @@ def vector(b, lines):
     return [np.log(n), np.log(chars / n), np.sqrt(symbols / n), np.sqrt(rep / n), np.sqrt(dup / max(lines, 1))]
 
 
-def test_op3_against_numpy(spark, docs_of):
+def test_op3_against_numpy(spark):
+    """Groups from one row to 200, null names, junk; the verdicts and distances of every row."""
     pool = [f"word{i}" for i in range(3000)]
-    texts = ["\n".join(" ".join(rng.choice(pool) for _ in range(rng.randint(8, 14))) for _ in range(rng.randint(8, 30))) for _ in range(260)]
-    texts += ["\n".join(["### $$$ buy | now | %%%"] * 20) + " " + " ".join(rng.choice(pool) for _ in range(60)) for _ in range(8)]
-    texts += ["short", None, "", "a b c " * 40]
-    rows = {r["doc_id"]: r for r in outliers.rules(docs_of(texts)).collect()}
+    kinds = [("en", "a")] * 200 + [("en", "b")] * 40 + [("en", None)] * 9 + [("fr", "a")] * 20 + [(None, "z")]
+    clean = ["\n".join(" ".join(rng.choice(pool) for _ in range(rng.randint(8, 14))) for _ in range(rng.randint(8, 30))) for _ in kinds]
+    junk = ["\n".join(["### $$$ buy | now | %%%"] * 20) + " " + " ".join(rng.choice(pool) for _ in range(60)) for _ in range(9)]
+    texts = clean + junk + ["short", None, "", "a b c " * 40]
+    kinds += [("en", "a")] * 6 + [("en", "b"), ("fr", "a"), ("xx", "only junk")] + [("en", "a"), ("en", "failed"), (None, None), ("en", "a")]
+    docs = spark.createDataFrame([(i, t, lang, src) for i, (t, (lang, src)) in enumerate(zip(texts, kinds))], "doc_id long, text string, lang string, source string")
+    rows = {r["doc_id"]: r for r in outliers.rules(docs).collect()}
     assert len(rows) == len(texts)
     fit, of = [], []
     for i, t in enumerate(texts):
@@ -197,11 +235,12 @@ def test_op3_against_numpy(spark, docs_of):
             lines = len([x for x in t.split("\n") if x.strip()])
             fit.append(vector(b, lines))
             of.append(i)
-    d2 = mcd(fit)
+    d2 = mcd(fit, [kinds[i] for i in of])
     assert np.allclose(d2, [rows[i]["d2"] for i in of], rtol=1e-3, atol=1e-3)
     limit = outliers.chi2_quantile(1 - outliers.TAIL, outliers.P)
     assert [rows[i]["kept"] for i in of] == (d2 <= limit).tolist()
-    assert all(rows[i]["kept"] for i in range(260)) and not any(rows[i]["kept"] for i in range(260, 268))
+    n = len(clean)
+    assert all(rows[i]["kept"] for i in range(n)) and not any(rows[i]["kept"] for i in range(n, n + 9))
 
 
 def test_op3_odd_and_keep(spark, odd, docs_of):
