@@ -2,10 +2,17 @@
 
 Byte 2-, 3- and 4-grams of the lower-cased text (ASCII other than letters counts as a word edge) hash
 into ``BUCKETS`` embeddings; their mean goes through a linear softmax. Both are trained with
-mini-batch stochastic gradient descent in numpy on a bounded sample: about ``sample_rows`` (never over
-twice as many) labelled documents of at most ``sample_bytes`` bytes, chosen by a hash, cut into snippets. A tenth of it is held back to calibrate: one temperature by likelihood, and the score below
-which a prediction is rejected. Predictions read whole texts; averaging being linear, embeddings and
-softmax weights fold into one score table that is broadcast (``BUCKETS`` x languages, bounded).
+mini-batch stochastic gradient descent in numpy on a bounded sample: about ``per_label`` documents of
+every label (all of a rarer one) of at most ``sample_bytes`` bytes, chosen by a hash, whole and cut into
+snippets. Predictions read whole texts; averaging being linear, embeddings and softmax weights fold
+into one score table that is broadcast (``BUCKETS`` x languages, bounded).
+
+*Rejection.* The softmax has one class more, of noise made from the sample: letters shuffled within a
+text, letters replaced one for one (an unknown language with the shape of a known one), random letters,
+and words of other scripts. A prediction's score is the calibrated probability of the best label among
+labels and noise. A tenth of sample and noise is held back: one temperature by likelihood, and as
+threshold the largest score that at most ``REJECT_SHARE`` of the clean texts fall below, but not over
+the score that leaves ``NOISE_SHARE`` of the noise.
 
 Defined results: null text or text without a letter is ``und`` with score 0 and rejected; with nothing
 to learn from, every document is; null doc_ids are predicted but never learned from (held_out is
@@ -24,9 +31,11 @@ from pyspark.sql import types as T
 from . import common
 
 BUCKETS, DIM = 1 << 16, 16
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 20_000
+PER_LABEL, SAMPLE_BYTES = 400, 20_000
 SNIPPET = 240  # bytes, about 40 words
-REJECT_SHARE = 0.0005
+REJECT_SHARE, NOISE_SHARE = 0.002, 0.001
+#: Letters of other scripts, for noise: Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, Kana, Han, Hangul.
+SCRIPTS = ((0x391, 0x3C9), (0x410, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0xE01, 0xE2E), (0x3041, 0x3096), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -53,26 +62,31 @@ class Model:
         self.labels, self.table, self.bias, self.temperature, self.floor = labels, table, bias, temperature, floor
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
-        """Mean table rows of folded texts, a few MB at a time and whole."""
-        sums, counts = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts))
+        """Mean table rows of folded texts, a few MB at a time and whole. Only grams that lie inside a
+        text count, so neighbours in a batch do not show."""
+        sums, counts = np.zeros((len(texts), self.table.shape[1])), np.zeros(len(texts))
+        lengths = np.array([len(t) for t in texts], np.int64)
         at = 0
         while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) < 1 << 18):
+            to, size = at + 1, len(texts[at])
+            while to < len(texts) and size + len(texts[to]) < 1 << 18:
                 size += len(texts[to])
                 to += 1
             if to - at == 1:
-                for a in range(0, max(1, len(texts[at])), 1 << 18):
+                for a in range(0, size, 1 << 18):
                     for g in grams(np.frombuffer(texts[at][a : a + (1 << 18) + 3], np.uint8)):
                         g = g[: 1 << 18]
                         sums[at] += self.table[g].sum(axis=0, dtype=np.float64)
                         counts[at] += len(g)
             else:
-                lengths = np.array([len(t) for t in texts[at:to]])
-                starts = np.cumsum(lengths) - lengths
-                for g in grams(np.frombuffer(b"".join(texts[at:to]) + b"   ", np.uint8)):
-                    sums[at:to] += np.add.reduceat(self.table[g[: lengths.sum()]], starts, axis=0)
-                    counts[at:to] += lengths
+                n = lengths[at:to]
+                starts = np.cumsum(n) - n
+                for k, g in enumerate(grams(np.frombuffer(b"".join(texts[at:to]) + b"   ", np.uint8)), 1):
+                    rows = self.table[g[:size]]
+                    for back in range(1, k + 1):  # the last grams of a text would reach into the next
+                        rows[(starts + n - back)[n >= back]] = 0
+                    sums[at:to] += np.add.reduceat(rows, starts, axis=0, dtype=np.float64)
+                    counts[at:to] += np.maximum(n - k, 0)
             at = to
         return sums / np.maximum(counts, 1)[:, None] + self.bias
 
@@ -82,37 +96,60 @@ class Model:
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
-        best = p.argmax(axis=1)
+        best = p[:, : len(self.labels)].argmax(axis=1)
         return best, p[np.arange(len(best)), best]
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 2.0, batch: int = 128, seed: int = 7) -> Model | None:
-    """Fit on whole texts; every tenth text only calibrates."""
+def noise(texts: list[str], rng: np.random.Generator) -> list[str]:
+    """Texts of no known language, made from every text in turn in one of four ways."""
+    out = []
+    for k, text in enumerate(texts):
+        words = text.lower().split(" ")
+        if k % 4 == 0:  # the text's letters in any order
+            letters = "".join(words)
+            mixed, at = "".join(letters[i] for i in rng.permutation(len(letters))), np.cumsum([0, *map(len, words)])
+            words = [mixed[a:z] for a, z in zip(at[:-1], at[1:])]
+        elif k % 4 == 1:  # one letter for another
+            own = sorted({c for c in text.lower() if c.isalpha()} | set("abcdefghijklmnopqrstuvwxyz"))
+            to = str.maketrans(dict(zip(own, (own[i] for i in rng.permutation(len(own))))))
+            words = [w.translate(to) for w in words]
+        elif k % 4 == 2:
+            words = ["".join(map(chr, rng.integers(97, 123, len(w)))) for w in words]
+        else:
+            a, z = SCRIPTS[rng.integers(len(SCRIPTS))]
+            words = ["".join(map(chr, rng.integers(a, z + 1, len(w)))) for w in words]
+        out.append(" ".join(words))
+    return out
+
+
+def train(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 2.0, batch: int = 128, seed: int = 7) -> Model | None:
+    """Fit on whole texts and on noise made from them; every tenth text only calibrates."""
     names = sorted(set(labels))
     if not names:
         return None
     rng = np.random.default_rng(seed)
     own = {n: i for i, n in enumerate(names)}
-    folded = [fold(t) for t in texts]
-    y = np.array([own[x] for x in labels])
-    held = np.arange(len(y)) % 10 == 9
+    base = rng.permutation(len(texts))[: max(40, len(texts) // len(names))]
+    folded = [fold(t) for t in [*texts, *noise([texts[i] for i in base], rng)]]
+    y = np.array([own[x] for x in labels] + [len(names)] * len(base))
+    held = np.concatenate([np.arange(n) % 10 == 9 for n in (len(texts), len(base))])
     snippets, target = [], []
     for t, c, h in zip(folded, y, held):
         if not h:
-            cuts = [t[a : a + SNIPPET] for a in range(0, max(1, len(t) - SNIPPET // 2), SNIPPET)]
-            for k in rng.permutation(len(cuts))[:6]:
-                snippets.append(np.concatenate(grams(np.frombuffer(cuts[k] + b"   ", np.uint8))))
+            for a in range(0, max(1, len(t) - SNIPPET // 2), SNIPPET):
+                snippets.append(np.concatenate(grams(np.frombuffer(t[a : a + SNIPPET], np.uint8))))
                 target.append(c)
     target = np.array(target)
+    classes = len(names) + 1
     emb = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
-    weights, bias = rng.normal(0, 0.1, (len(names), DIM)).astype(np.float32), np.zeros(len(names), np.float32)
+    weights, bias = rng.normal(0, 0.1, (classes, DIM)).astype(np.float32), np.zeros(classes, np.float32)
     steps, done = max(1, epochs * -(-len(target) // batch)), 0
     for _ in range(epochs):
         order = rng.permutation(len(target))
         for a in range(0, len(order), batch):
             pick = order[a : a + batch]
-            n = np.array([len(snippets[i]) for i in pick])
-            index = np.concatenate([snippets[i] for i in pick])
+            n = np.array([max(1, len(snippets[i])) for i in pick])
+            index = np.concatenate([snippets[i] if len(snippets[i]) else [0] for i in pick]).astype(np.int64)
             mean = np.add.reduceat(emb[index], np.cumsum(n) - n, axis=0) / n[:, None]
             z = mean @ weights.T + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -137,8 +174,8 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 2.
             best = min(best, (loss, float(t)))
         model.temperature = best[1]
         _, score = model.predict([folded[i] for i in check])
-        # Not over what a coin among the labels would get twice over, so that clean text stays.
-        model.floor = float(min(np.quantile(score, REJECT_SHARE), min(0.5, 2 / len(names))))
+        clean, other = score[y[check] < len(names)], score[y[check] == len(names)]
+        model.floor = float(min(np.quantile(clean, REJECT_SHARE) if len(clean) else 1.0, max(0.5, np.quantile(other, 1 - NOISE_SHARE) if len(other) else 0.0)))
     return model
 
 
@@ -146,15 +183,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+def fit(docs: DataFrame, per_label: int = PER_LABEL, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
     """Train on the bounded sample of labelled documents that are not held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") <= sample_bytes) & (F.octet_length("text") > 0))
-    # Rows whose hash is in the lowest share: about sample_rows of them, whatever the number of tasks.
-    total = rows.count()
-    if total > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < int((1 << 40) * sample_rows / total))
-    rows = rows.limit(2 * sample_rows).collect()  # binds only if one document repeats without end
+    # Of every label the rows whose hash is in its lowest share: about per_label of them, at any number
+    # of tasks. Equal rows are one row, so copies of a document cannot crowd the sample.
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return None
+    share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1 << 40, int((1 << 40) * per_label / n)))))
+    picked = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < share[F.col("lang")])
+    rows = picked.groupBy(*picked.columns).agg(F.lit(1)).select(*picked.columns).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
     rows = [r for r in rows if _LETTER.search(r["text"])]
     return train([r["text"] for r in rows], [r["lang"] for r in rows])

@@ -534,11 +534,61 @@ def test_op7_odd(spark, odd, docs_of):
     assert langid.identify(docs_of([])).count() == 0 and langid.keep(odd).columns == odd.columns
 
 
-def test_langid_scores_are_whole_text():
+def slow_gram(data):
+    """Bucket of one gram of 2 to 4 bytes, on Python integers."""
+    h = data[0]
+    for c in data[1:]:
+        h = (h * 0x01000193 + c) % 2**32
+    return ((h ^ ((len(data) - 1) * 0x9E3779B1 % 2**32)) * 0x85EBCA6B % 2**32 >> 16) % langid.BUCKETS
+
+
+def slow_score(m, text):
+    """Label and score of a text, gram by gram."""
+    t = langid.fold(text)
+    picked = [m.table[slow_gram(t[i : i + n])].astype(float) for n in (2, 3, 4) for i in range(len(t) - n + 1)]
+    z = (sum(picked) / len(picked) + m.bias) / m.temperature
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    k = int(p[: len(m.labels)].argmax())
+    return k, p[k]
+
+
+def test_langid_scores_gram_by_gram(monkeypatch):
+    """Whole texts, whatever their neighbours in a batch are, and longer than a piece."""
     m = langid.train([w * 30 for w in ("abc ", "xyz ")] * 20, ["a", "b"] * 20)
+    texts = ["a", "", "abc xyz", "é", "Xyz-abc " * 30, "12a", "漢字", "q"]
+    best, score = m.predict([langid.fold(t) for t in texts])
+    assert [slow_score(m, t)[0] for t in texts] == best.tolist()
+    assert np.allclose([slow_score(m, t)[1] for t in texts], score, atol=1e-6)
     long = [langid.fold("abc " * 200_000), langid.fold("xyz " * 10)]
     apart = np.stack([m.logits([t])[0] for t in long])
-    assert np.allclose(m.logits(long), apart, atol=1e-3)
+    assert np.allclose(m.logits(long), apart, atol=1e-6)
+
+
+def test_langid_rejects_what_it_does_not_know():
+    """A language left out of training, and noise that training has not seen; known texts stay."""
+    import pyarrow.parquet as pq
+
+    docs = [r for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text", "lang"]).to_pylist() if r["text"] and r["lang"] and len(r["text"]) > 100]
+    for foreign in ("es", "de"):
+        known = [r for r in docs if r["lang"] != foreign]
+        m = langid.train([r["text"] for r in known[::2]], [r["lang"] for r in known[::2]])
+        rate = lambda texts: np.mean(m.predict([langid.fold(t) for t in texts])[1] < m.floor)
+        tested = [r["text"] for r in known[1::2]]
+        best, _ = m.predict([langid.fold(t) for t in tested])
+        assert np.mean([m.labels[k] == r["lang"] for k, r in zip(best, known[1::2])]) >= 0.99
+        assert rate(tested) <= 0.01
+        assert rate(langid.noise(tested, np.random.default_rng(99))) >= 0.98
+        assert rate([r["text"] for r in docs if r["lang"] == foreign]) >= 0.9
+
+
+def test_op7_learns_a_rare_label(spark, docs_of):
+    """A label with one row in a hundred is sampled by itself; one document on many rows counts once."""
+    pool = {"en": "the of and to with that this".split(), "zz": "zuk zak zir zot zemm".split()}
+    rows = [(i, " ".join(rng.choice(pool["zz" if i % 100 == 0 else "en"]) for _ in range(40)), "zz" if i % 100 == 0 else "en", "s", None, 1) for i in range(3000)]
+    rows += [(1, rows[1][1], "en", "s", None, 1)] * 1000
+    m = langid.fit(docs_of(rows), per_label=60)
+    best, score = m.predict([langid.fold(r[1]) for r in rows])
+    assert [m.labels[k] for k in best] == [r[2] for r in rows] and np.mean(score >= m.floor) > 0.99
 
 
 # --- 8
