@@ -7,6 +7,11 @@ Python worker, and new ones are segmented together, all start positions walking
 A character without a piece of its own costs ten below the lowest score and is written as byte
 pieces. Ties go to the path whose last piece starts first.
 
+Public vocabularies of this kind come with merge ranks instead of log scores, and tokenizers are not
+trained here, so ``log_scores`` maps the rank of a piece to the logarithm of its share by the law of Zipf
+and Mandelbrot: share 1 / (rank + 2.7), over all pieces 1. Pass ``ranked=False`` for a vocabulary
+whose scores are logarithms already.
+
 Defined results: null or empty text has no pieces; a text that holds U+2581 itself decodes to a
 space there (``exact`` is false); repeated rows give equal rows; other columns are not touched."""
 from __future__ import annotations
@@ -26,6 +31,7 @@ from . import common
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+OFFSET = 2.7
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -64,6 +70,18 @@ def load_pieces(data: bytes) -> list[tuple[str, float, int]]:
     return out
 
 
+def log_scores(pieces: list[tuple[str, float, int]]) -> np.ndarray:
+    """Logarithm of the share of each normal piece by its rank (the highest score first, ties in order
+    of ids); 0 for others."""
+    normal = np.array([i for i, (_, _, kind) in enumerate(pieces) if kind == NORMAL], np.int64)
+    out = np.zeros(len(pieces))
+    if len(normal):
+        order = normal[np.argsort([-pieces[i][1] for i in normal], kind="stable")]
+        share = 1 / (np.arange(1, len(order) + 1) + OFFSET)
+        out[order] = np.log(share / share.sum())
+    return out
+
+
 class DoubleArray:
     """Trie over byte strings: from state s byte c leads to t = base[s] + c + 1 if check[t] == s."""
 
@@ -112,15 +130,15 @@ class DoubleArray:
 class Unigram:
     """Encoder and decoder for one vocabulary."""
 
-    def __init__(self, pieces: list[tuple[str, float, int]], max_chunks: int = 300_000):
+    def __init__(self, pieces: list[tuple[str, float, int]], max_chunks: int = 300_000, ranked: bool = True):
         self.pieces = pieces
         normal = [i for i, (_, _, kind) in enumerate(pieces) if kind == NORMAL]
         if any(MARK in p.lstrip(MARK) for p, _, kind in pieces if kind == NORMAL):
             raise ValueError("a piece spans words")
         self.trie = DoubleArray([pieces[i][0].encode() for i in normal])
         self.ids = np.array(normal, np.int32)
-        self.scores = np.array([s for _, s, _ in pieces], np.float64)
-        self.unknown_score = min((pieces[i][1] for i in normal), default=0.0) - 10.0
+        self.scores = log_scores(pieces) if ranked else np.array([s for _, s, _ in pieces], np.float64)
+        self.unknown_score = min((self.scores[i] for i in normal), default=0.0) - 10.0
         self.unknown = next((i for i, x in enumerate(pieces) if x[2] == UNKNOWN), 0)
         self.bytes = np.full(256, -1, np.int32)
         for i, (p, _, kind) in enumerate(pieces):
