@@ -27,9 +27,12 @@ class WordTokenizer:
 
     def __init__(self, path: str, max_words: int = 1_250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The same merges for what is letters and spaces already: no normalizing, no pattern.
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.size = max(vocab.values()) + 1
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
@@ -47,7 +50,7 @@ class WordTokenizer:
     def _encode_cores(self, cores: list[str]) -> None:
         for at in range(0, len(cores), 4096):
             part = cores[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ids = np.array(self.letters.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part) and cuts[-1] == len(ids):
                 data, width, a = ids.tobytes(), self.dtype.itemsize, 0
@@ -94,22 +97,16 @@ class WordTokenizer:
         """The ids of each text. Call with a few MB of text at a time."""
         if len(self.words) > self.max_words:
             self.words = {"": b""}
-        get, out, again, missing = self.words.__getitem__, [], [], set()
-        for k, t in enumerate(texts):
-            ws = self._split(t)
-            try:
-                out.append(b"".join(map(get, ws)))
-            except KeyError:
-                missing |= set(ws).difference(self.words)
-                out.append(b"")
-                again.append((k, ws))
-        long = {w for w in missing if len(w) > 256}
+        split = [self._split(t) for t in texts]
+        missing = set().union(*split).difference(self.words)
+        own = {w for w in missing if len(w) > 256}
         if missing:
-            self._learn(missing - long)
-        own = dict(zip(long, self._encode_each(list(long)))) if long else {}
-        for k, ws in again:
-            out[k] = b"".join([own[w] if w in own else get(w) for w in ws] if own else map(get, ws))
-        return out
+            self._learn(missing - own if own else missing)
+        get = self.words.__getitem__
+        if own:
+            of_long = dict(zip(own, self._encode_each(list(own))))
+            get = lambda w: of_long[w] if w in of_long else self.words[w]
+        return [b"".join(map(get, ws)) for ws in split]
 
 
 def word_tokenizer(path: str) -> WordTokenizer:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from rasterloom.llm import components, jpeg, langid, outliers, packing, queries, shards, simhash, substring, tokens, unigram, urls, wavelet
 
@@ -53,7 +54,10 @@ def test_wavelet_shard_answers():
         where = np.flatnonzero(a == token)
         assert w.count(token) == len(where) and w.count(token, 60_000, 70_001) == ((where >= 60_000) & (where < 70_001)).sum()
         assert w.rank(token, 70_000) == (where < 70_000).sum()
-        assert [w.select(token, j) for j in range(0, len(where), 9999)] == where[::9999].tolist()
+        assert [w.select(token, j) for j in range(0, len(where), 499)] == where[::499].tolist()
+        assert w.occurrences(token).tolist() == where.tolist()
+    for i in (*range(0, 1100, 7), *range(65_000, 66_000, 11), 149_999):
+        assert w.access(i) == a[i] and w.rank(5, i) == (a[:i] == 5).sum()
     with pytest.raises(IndexError):
         w.select(77, 0)
     with pytest.raises(IndexError):
@@ -71,12 +75,48 @@ def test_op1(spark, docs_of):
     assert len(rows) == len(texts)
 
 
+def test_shard_is_read_in_parts(tmp_path):
+    a = np.array([rng.randint(0, 40_000) for _ in range(70_000)], np.uint16)
+    path = str(tmp_path / "x.wvm")
+    with open(path, "wb") as f:
+        f.write(data := wavelet.build(a, np.array([70_000]), [1], 16))
+    w = wavelet.WaveletShard.open(path)
+    read = []
+    w._read = lambda x, z, r=w._read: read.append(z - x) or r(x, z)
+    assert w.access(65_540) == a[65_540] and sum(read) < len(data) / 10
+    n = int(a[7])
+    assert w.select(n, w.rank(n, 7)) == 7 and w.occurrences(n).tolist() == np.flatnonzero(a == n).tolist()
+
+
+def test_plane_against_bits():
+    for n in (1, 511, 512, 513, 3000, 1 << 16):
+        bits = np.array([rng.random() < 0.3 for _ in range(n)])
+        p = wavelet.Plane(wavelet._plane_bytes(bits), n, int((~bits).sum()))
+        assert [p.rank(i) for i in range(0, n + 1, 97)] == [int(bits[:i].sum()) for i in range(0, n + 1, 97)] and p.rank(n) == bits.sum()
+        for i in range(0, n, 53):
+            assert p[i] == bits[i] and p.up(int(bits[i]), p.down(int(bits[i]), i)) == i
+
+
 def test_op1_odd(spark, odd, docs_of):
     rows = wavelet.read_documents(wavelet.encode(odd, queries.WORDS)).collect()
     assert len(rows) == odd.count() and sum(r["n_tokens"] == 1 for r in rows) == 4
     assert wavelet.read_documents(wavelet.encode(docs_of([]), queries.WORDS)).collect() == []
 
 
+def test_op1_one_doc_id_on_most_rows(spark):
+    """Its texts are spread over ranges; every id is found where ``start`` says."""
+    rows = [(7, f"{sentence(3)} {k} # #") for k in range(300)] + [(None, f"null {k}") for k in range(150)] + [(k, sentence(2)) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    manifest = wavelet.encode(docs, queries.WORDS, shard_tokens=900)
+    most = max(r["n_docs"] for r in manifest.groupBy("part").agg(F.sum("n_docs").alias("n_docs")).collect())
+    assert most < 250
+    got = sorted(wavelet.read_documents(manifest).collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:k]) for k in range(len(got))]
+    assert [r["doc_id"] for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+    want = Counter((d, crc([*i, 2]), i.count(2) + 1) for (d, _), i in zip(rows, library_ids([t for _, t in rows])))
+    assert Counter((r["doc_id"], r["ids_crc32"], r["n_end_ids"]) for r in got) == want
+
+
 # --- 2
 
 
