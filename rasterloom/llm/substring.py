@@ -48,6 +48,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def _runs(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of n values."""
+    with np.errstate(over="ignore"):
+        return _mix(_rolled(h, n))
+
+
+def _rolled(h: np.ndarray, n: int) -> np.ndarray:
+    """Polynomial of every run of n values, by doubling."""
     out, have, power, base, size, scale = None, 0, _MUL, h, 1, _MUL
     while True:
         if n & size:
@@ -58,7 +64,7 @@ def _runs(h: np.ndarray, n: int) -> np.ndarray:
                 out, have, power = out[:m] * scale + base[have : have + m], have + size, power * scale
         size *= 2
         if size > n:
-            return _mix(out)
+            return out
         m = len(base) - size // 2
         base, scale = base[:m] * scale + base[size // 2 : size // 2 + m], scale * scale
 
@@ -79,8 +85,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 def window_anchors(h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     """The anchor value of every window, and the anchor values of positions that serve one."""
-    with np.errstate(over="ignore"):
-        grams = _runs(h, anchor)
+    grams = _runs(h, anchor)
     w = window - anchor + 1
     least = _slide(grams, w, np.minimum)
     wide = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)])
@@ -223,6 +228,8 @@ def _window_roles(docs: DataFrame, anchors: DataFrame, window: int, anchor: int)
             doc = np.repeat(np.array([d for _, _, d in held], np.int64), [len(x) for x, _, _ in held])
             order = np.lexsort((start, doc, h))
             h, start, doc = h[order].view(np.int64), start[order], doc[order]
+            own = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])])
+            h, start, doc = h[own], start[own], doc[own]  # a repeated row says nothing new
             new = np.concatenate([[True], h[1:] != h[:-1]])
             at = np.flatnonzero(new)
             group = np.cumsum(new) - 1
@@ -246,8 +253,7 @@ def _window_roles(docs: DataFrame, anchors: DataFrame, window: int, anchor: int)
                 least, _ = window_anchors(h, window, anchor)
                 start = np.flatnonzero(np.isin(least.view(np.int64), known))
                 if len(start):
-                    with np.errstate(over="ignore"):
-                        held.append((_runs(h, window)[start], start.astype(np.int32), key))
+                    held.append((_runs(h, window)[start], start.astype(np.int32), key))
                     size += len(start)
                     if size >= FLUSH:
                         yield from flush()
