@@ -3,14 +3,21 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, langid, outliers, packing, shards, simhash, substring, unigram, urls, wavelet
+from . import common, jpeg, langid, outliers, packing, shards, simhash, substring, unigram, urls, wavelet
 
-#: Folder of the public tokenizer files.
-TOKENIZERS = os.environ.get("RASTERLOOM_TOKENIZERS", "/opt/tokenizers")
-WORDS, PIECES = f"{TOKENIZERS}/word_bpe_49k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
+
+
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer file: in the folder ``RASTERLOOM_TOKENIZERS`` names, else the installed one."""
+    folder = os.environ.get("RASTERLOOM_TOKENIZERS")
+    return f"{folder}/{name}" if folder else public_tokenizers.path(name)
+
+
+WORDS, PIECES = tokenizer_file("word_bpe_49k.json"), tokenizer_file("piece_bpe_32k.model")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +38,7 @@ def op3_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jpeg.inspect(jpeg.store(_documents(spark, sf_dir)))
+    return jpeg.inspect(common.materialize(jpeg.store(_documents(spark, sf_dir)), "media"))
 
 
 def op5_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
