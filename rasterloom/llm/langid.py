@@ -51,6 +51,17 @@ def grams(data: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def inner_grams(joined: bytes, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For texts of ``n`` bytes in a row, the 2-, 3- and 4-gram at each byte, and where these reach out of
+    their text."""
+    ends = np.cumsum(n)
+    out = []
+    for k, g in enumerate(grams(np.frombuffer(joined + b"   ", np.uint8)), 1):
+        across = np.concatenate([(ends - back)[n >= back] for back in range(1, k + 1)])
+        out.append((g[: len(joined)], across))
+    return out
+
+
 def fold(text: str) -> bytes:
     return b" " + text.lower().encode().translate(_FOLD) + b" "
 
@@ -80,12 +91,10 @@ class Model:
                         counts[at] += len(g)
             else:
                 n = lengths[at:to]
-                starts = np.cumsum(n) - n
-                for k, g in enumerate(grams(np.frombuffer(b"".join(texts[at:to]) + b"   ", np.uint8)), 1):
-                    rows = self.table[g[:size]]
-                    for back in range(1, k + 1):  # the last grams of a text would reach into the next
-                        rows[(starts + n - back)[n >= back]] = 0
-                    sums[at:to] += np.add.reduceat(rows, starts, axis=0, dtype=np.float64)
+                for k, (g, across) in enumerate(inner_grams(b"".join(texts[at:to]), n), 1):
+                    rows = self.table[g]
+                    rows[across] = 0
+                    sums[at:to] += np.add.reduceat(rows, np.cumsum(n) - n, axis=0, dtype=np.float64)
                     counts[at:to] += np.maximum(n - k, 0)
             at = to
         return sums / np.maximum(counts, 1)[:, None] + self.bias
@@ -136,9 +145,9 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 2.
     snippets, target = [], []
     for t, c, h in zip(folded, y, held):
         if not h:
-            for a in range(0, max(1, len(t) - SNIPPET // 2), SNIPPET):
-                snippets.append(np.concatenate(grams(np.frombuffer(t[a : a + SNIPPET], np.uint8))))
-                target.append(c)
+            cuts = [t[a : a + SNIPPET] for a in range(0, max(1, len(t) - SNIPPET // 2), SNIPPET)]
+            snippets += cuts
+            target += [c] * len(cuts)
     target = np.array(target)
     classes = len(names) + 1
     emb = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
@@ -148,17 +157,28 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 2.
         order = rng.permutation(len(target))
         for a in range(0, len(order), batch):
             pick = order[a : a + batch]
-            n = np.array([max(1, len(snippets[i])) for i in pick])
-            index = np.concatenate([snippets[i] if len(snippets[i]) else [0] for i in pick]).astype(np.int64)
-            mean = np.add.reduceat(emb[index], np.cumsum(n) - n, axis=0) / n[:, None]
+            n = np.array([len(snippets[i]) for i in pick])
+            parts = inner_grams(b"".join([snippets[i] for i in pick]), n)
+            count = np.maximum(1, sum(np.maximum(n - k, 0) for k in range(1, 4)))[:, None]
+            sums = np.zeros((len(pick), DIM), np.float32)
+            for index, across in parts:
+                rows = emb[index]
+                rows[across] = 0
+                sums += np.add.reduceat(rows, np.cumsum(n) - n, axis=0)
+            mean = sums / count
             z = mean @ weights.T + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(pick)), target[pick]] -= 1
             lr = rate * (1 - done / steps)
-            down = (p @ weights / n[:, None] * lr).astype(np.float32)
+            index = np.concatenate([g for g, _ in parts])
+            inside = np.ones(len(index), bool)
+            for k, (_, across) in enumerate(parts):
+                inside[across + k * int(n.sum())] = False
+            index, own = index[inside], np.tile(np.repeat(np.arange(len(pick)), n), 3)[inside]
+            down = (p @ weights / count * lr).T
             for k in range(DIM):
-                emb[:, k] -= np.bincount(index, np.repeat(down[:, k], n), BUCKETS).astype(np.float32)
+                emb[:, k] -= np.bincount(index, down[k][own], BUCKETS).astype(np.float32)
             weights -= lr / len(pick) * (p.T @ mean).astype(np.float32)
             bias -= lr / len(pick) * p.sum(axis=0).astype(np.float32)
             done += 1
@@ -167,7 +187,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 2.
     if len(check):
         z = model.logits([folded[i] for i in check])
         best = (np.inf, 1.0)
-        for t in np.geomspace(0.05, 20, 60):
+        for t in np.geomspace(0.5, 20, 60):  # on texts without an error the likelihood alone has no bound
             s = z / t
             s = s - s.max(axis=1, keepdims=True)
             loss = float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(check)), y[check]]).mean()) + 1e-3 * abs(np.log(t))

@@ -8,8 +8,8 @@ smaller determinant wins. Documents whose squared Mahalanobis distance is beyond
 quantile are rejected.
 
 Groups of every size are estimated alike: a group's medians, deviations and moments count with its
-rows, those of its language with ``PRIOR`` rows more, which in turn count those of all documents with
-``PRIOR`` rows (and these a unit normal distribution). A source of ten documents is judged mostly by
+rows, those of its language with ``PRIOR`` rows more, which in turn count those of all languages together
+with ``PRIOR`` rows (and these, for the moments, a unit normal distribution). A source of ten documents is judged mostly by
 its language, one of ten thousand by itself, and nothing changes at a size.
 
 Every quantile comes from counts on a fixed grid, so it covers all rows, is the same at every
@@ -131,8 +131,9 @@ def _cut(cells: DataFrame, keys: list[str], q: float) -> DataFrame:
 
 
 def _median(rows: DataFrame, values: list[Column], name: str) -> DataFrame:
-    """(g, name0, name1, ...): per group the medians of the values, pulled to those of its language and
-    of all rows. A median lies within its cell of width ``GRID`` as if the cell were evenly filled."""
+    """(g, name0, name1, ...): per group the medians of the values, pulled to those of its language, and
+    these to the mean over languages. A median lies within its cell of width ``GRID`` as if the cell
+    were evenly filled."""
     tall = rows.select("g", "p", F.posexplode(F.array(*values)).alias("i", "v"))
     cells = tall.groupBy("g", "p", "i", F.floor(F.col("v") / GRID).alias("cell")).agg(F.count("*").alias("n"))
 
@@ -141,34 +142,32 @@ def _median(rows: DataFrame, values: list[Column], name: str) -> DataFrame:
         inside = (0.5 * F.col("all") - F.col("upto") + F.col("n")) / F.col("n")
         return _cut(summed, keys, 0.5).select(*keys, ((F.col("cell") + inside) * GRID).alias(f"v_{tag}"), F.col("all").alias(f"n_{tag}"))
 
-    df = level(["g", "p", "i"], "g").join(level(["p", "i"], "p"), ["p", "i"]).join(level(["i"], "all"), "i")
-    of_p = (F.col("n_p") * F.col("v_p") + PRIOR * F.col("v_all")) / (F.col("n_p") + PRIOR)
-    of_g = F.round((F.col("n_g") * F.col("v_g") + PRIOR * of_p) / (F.col("n_g") + PRIOR), 9)
+    every = Window.partitionBy("i")  # one row a language
+    mean = F.sum(F.col("n_p") * F.col("v_p")).over(every) / F.sum("n_p").over(every)
+    langs = level(["p", "i"], "p").select("p", "i", ((F.col("n_p") * F.col("v_p") + PRIOR * mean) / (F.col("n_p") + PRIOR)).alias("of_p"))
+    df = level(["g", "p", "i"], "g").join(langs, ["p", "i"])
+    of_g = F.round((F.col("n_g") * F.col("v_g") + PRIOR * F.col("of_p")) / (F.col("n_g") + PRIOR), 9)
     return df.groupBy("g").agg(*(F.max(F.when(F.col("i") == i, of_g)).alias(f"{name}{i}") for i in range(P)))
 
 
 def _moments(rows: DataFrame, values: list[str], start: Column) -> DataFrame:
-    """(g, start, m_i, c_i_j): mean and covariance of each group's rows, with the sums of its language and
-    of all rows at the weight of ``PRIOR`` rows. Rounded, so that the order of additions does not show."""
+    """(g, start, m_i, c_i_j): mean and covariance of each group's rows, with those of its language and of
+    all rows at the weight of ``PRIOR`` rows. Rounded, so that the order of additions does not show."""
     names = ["n", *(f"s{i}" for i in range(P)), *(f"q_{i}_{j}" for i, j in _IJ)]
     terms = [F.lit(1.0), *(F.col(v) for v in values), *(F.col(values[i]) * F.col(values[j]) for i, j in _IJ)]
     unit = [1.0, *[0.0] * P, *(1.0 if i == j else 0.0 for i, j in _IJ)]
     own = rows.select("g", "p", start.alias("start"), *(t.alias(k) for k, t in zip(names, terms))).groupBy("g", "p", "start").agg(*(F.sum(k).alias(k) for k in names))
+    langs = own.groupBy("p", "start").agg(*(F.sum(k).alias(k) for k in names))
+    every = Window.partitionBy("start")  # one row a language
+    langs = langs.select("*", *(F.sum(k).over(every).alias(f"all_{k}") for k in names))
 
-    def pulled(sums: DataFrame, keys: list[str], to: DataFrame | None, on: list[str]) -> DataFrame:
-        """Means of the sums after ``PRIOR`` rows like those of ``to`` are added."""
-        if to is None:
-            df, other = sums, [F.lit(u) for u in unit]
-        else:
-            df, other = sums.join(to, on), [F.col(f"_{k}") for k in names]
-        return df.select(*keys, *(((F.col(k) + PRIOR * o) / (F.col("n") + PRIOR)).alias(f"_{k}") for k, o in zip(names, other)))
-
-    total = lambda keys: own.groupBy(*keys).agg(*(F.sum(k).alias(k) for k in names))
-    every = pulled(total(["start"]), ["start"], None, [])
-    lang = pulled(total(["p", "start"]), ["p", "start"], every, ["start"])
-    df = pulled(own, ["g", "start"], lang, ["p", "start"])
+    def pulled(value: Column, n: str, to: Column) -> Column:
+        return (value + PRIOR * to) / (F.col(n) + PRIOR)
+
+    langs = langs.select("p", "start", *(pulled(F.col(k), "n", pulled(F.col(f"all_{k}"), "all_n", F.lit(u))).alias(f"_{k}") for k, u in zip(names, unit)))
+    df = own.join(langs, ["p", "start"]).select("g", "start", *(pulled(F.col(k), "n", F.col(f"_{k}")).alias(k) for k in names[1:]))
     r = lambda c: F.round(c, 9)
-    return df.select("g", "start", *(r(F.col(f"_s{i}")).alias(f"m{i}") for i in range(P)), *(r(F.col(f"_q_{i}_{j}") - F.col(f"_s{i}") * F.col(f"_s{j}")).alias(f"c_{i}_{j}") for i, j in _IJ))
+    return df.select("g", "start", *(r(F.col(f"s{i}")).alias(f"m{i}") for i in range(P)), *(r(F.col(f"q_{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}")).alias(f"c_{i}_{j}") for i, j in _IJ))
 
 
 def _cholesky(df: DataFrame, factor: float) -> DataFrame:

@@ -218,7 +218,7 @@ def mcd(vectors, groups):
     def medians(v):
         out = np.empty_like(v)
         for i in range(outliers.P):
-            top = median(v[:, i])
+            top = sum((langs == p).sum() * median(v[langs == p, i]) for p in set(langs)) / len(v)
             for g in set(own):
                 of_lang = langs == langs[own == g][0]
                 lang = pulled(median(v[of_lang, i]), of_lang.sum(), top)
