@@ -171,23 +171,26 @@ def _moments(rows: DataFrame, values: list[str], start: Column) -> DataFrame:
 
 
 def _cholesky(df: DataFrame, factor: float) -> DataFrame:
-    """(g, start, m_i, l_i_j, logdet): the lower factor of c_i_j / factor plus the ridge."""
+    """(g, start, m_i, l_i_j, logdet): the lower factor of c_i_j / factor plus the ridge. Columns refer to
+    those before them in the one projection."""
+    factors = []
     for i, j in _IJ:
         v = F.col(f"c_{i}_{j}") / factor + F.lit(RIDGE if i == j else 0.0)
         for k in range(j):
             v = v - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-        df = df.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(v, F.lit(1e-9))) if i == j else v / F.col(f"l_{j}_{j}"))
-    return df.select("g", "start", *_M, *_L, sum((2 * F.log(F.col(f"l_{i}_{i}")) for i in range(P)), F.lit(0.0)).alias("logdet"))
+        factors.append((F.sqrt(F.greatest(v, F.lit(1e-9))) if i == j else v / F.col(f"l_{j}_{j}")).alias(f"l_{i}_{j}"))
+    return df.select("g", "start", *_M, *factors, sum((2 * F.log(F.col(f"l_{i}_{i}")) for i in range(P)), F.lit(0.0)).alias("logdet"))
 
 
-def _distance(df: DataFrame) -> DataFrame:
-    """d2 of z against m and l by forward substitution, one projection per coordinate."""
+def _distance(df: DataFrame, keep: list[str]) -> DataFrame:
+    """d2 of z against m and l by forward substitution, in one projection."""
+    steps = []
     for i in range(P):
         v = F.col(f"z{i}") - F.col(f"m{i}")
         for j in range(i):
             v = v - F.col(f"l_{i}_{j}") * F.col(f"y{j}")
-        df = df.withColumn(f"y{i}", v / F.col(f"l_{i}_{i}"))
-    return df.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(P)), F.lit(0.0))).drop(*(f"y{i}" for i in range(P)))
+        steps.append((v / F.col(f"l_{i}_{i}")).alias(f"y{i}"))
+    return df.select(*keep, *steps, sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(P)), F.lit(0.0)).alias("d2")).drop(*(f"y{i}" for i in range(P)))
 
 
 def _scores(df: DataFrame) -> list[Column]:
@@ -212,7 +215,7 @@ def fit(stats: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame
     both = tanh.select("g", F.explode(F.array(*(F.struct(F.lit(k).alias("start"), *(c.alias(f"c_{i}_{j}") for (i, j), c in cov.items())) for k, cov in enumerate((unit, cor))))).alias("e"))
     est = common.materialize(_cholesky(both.select("g", "e.*", *(F.lit(0.0).alias(m) for m in _M)), 1.0), "mcd-start")
     for _ in range(steps):
-        d = _distance(z.join(est.drop("logdet"), "g")).withColumn("cell", F.floor(F.log1p("d2") / STEP))
+        d = _distance(z.join(est, "g"), ["g", "p", "start", *_Z]).withColumn("cell", F.floor(F.log1p("d2") / STEP))
         cells = d.groupBy("g", "start", "cell").agg(F.count("*").alias("n"))
         cut = common.materialize(_cut(cells, ["g", "start"], share).select("g", "start", F.col("cell").alias("last")), "mcd-cut")
         inside = d.join(cut, ["g", "start"]).where("cell <= last")
@@ -225,7 +228,7 @@ def judge(stats: DataFrame, estimate: DataFrame, tail: float = TAIL) -> DataFram
     """``stats`` with d2 (squared distance, null where the whole group failed the base rules) and kept."""
     limit = chi2_quantile(1 - tail, P)
     df = stats.join(estimate, "g", "left").select(*stats.columns, *_scores(stats), *_M, *_L)
-    df = _distance(df).withColumn("d2", F.round("d2", 6))
+    df = _distance(df, stats.columns).withColumn("d2", F.round("d2", 6))
     return df.select(*stats.columns, "d2", (~F.col("base_failed") & ~F.coalesce(F.col("d2") > limit, F.lit(False))).alias("kept"))
 
 
