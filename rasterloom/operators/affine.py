@@ -1,19 +1,22 @@
 """Affine warps, matrix inversion and five-point alignment.
 
-A warp is a table of weights: for every output pixel the source pixels that it reads. One matrix for all
-images makes one small generated table, joined by broadcast under Catalyst's size check; a matrix per
-image makes the table per image, joined on image and source position. A weighted mean per output
-pixel follows."""
+A warp gathers: an output pixel reads up to 64 source pixels. So the pixels of an image come together
+once (one exchange by image, or none where they are already), become an array, and numpy gathers by
+index; no weight and no product is a row. An image must fit into a worker.
+"""
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
-from ..functions.taps import CUBICS, SINCS, weight
-from .pixels import channels, grid, sizes
+from .pixels import channels
+from .warp import warp_array
 
 Matrix = tuple[tuple[float, float, float], tuple[float, float, float]]
 # Positions of the five points in a 112-pixel crop.
@@ -53,121 +56,93 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _kernel_taps(mode: int, t: Column) -> Column:
-    base = F.floor(t).cast("int")
-    if mode == S.CUBIC:
-        reach = F.sequence(base - 1, base + 2)
-    elif mode in CUBICS:
-        base = F.floor(t - 1).cast("int")
-        reach = F.sequence(base, base + 3)
-    else:
-        reach = F.sequence(base - (SINCS[mode] - 1), base + SINCS[mode])
-    return F.transform(reach, lambda s: F.struct(s.alias("s"), weight(mode, t - s).alias("w")))
-
-
-def _margins(mode: int) -> tuple[int, int]:
-    """Least coordinate and distance from the far side at which a kernel mode has values."""
-    if mode == S.CUBIC:
-        return 2, 2
-    return (1, 2) if mode in CUBICS else (SINCS[mode] + 1, SINCS[mode] + 1)
-
-
-def _area_taps(low: Column, high: Column, n: Column) -> Column:
-    """Cells of [low, high); the far cell's weight replaces the near one's where they coincide, and
-    a clamped edge may weigh more than 1 (kept as users know it)."""
-    first = F.greatest(F.lit(0), F.floor(low).cast("int"))
-    last = F.least(n, F.ceil(high).cast("int")) - 1
-    w = lambda s: F.when(s == last, F.lit(1.0) - (s + 1.0 - high)).when(s == first, F.lit(1.0) - (low - s)).otherwise(F.lit(1.0))
-    some = last >= first
-    return F.when(some, F.transform(F.sequence(first, F.when(some, last).otherwise(first)), lambda s: F.struct(s.alias("s"), w(s).alias("w")))).otherwise(F.array().cast("array<struct<s:int,w:double>>"))
-
-
-def _axis_taps(mode: int, t: Column, n: Column) -> Column:
-    """Array of (s, w) along one axis for source coordinate ``t``; empty outside the mode's bounds."""
-    none = F.array().cast("array<struct<s:int,w:double>>")
-    tap = lambda s, w: F.struct(s.cast("int").alias("s"), w.cast("double").alias("w"))
-    if mode == S.NEAREST:
-        return F.when((F.rint(t) >= 0) & (F.rint(t) < n), F.array(tap(F.rint(t), F.lit(1.0)))).otherwise(none)
-    if mode == S.LINEAR:
-        low = F.floor(t)
-        return F.when((t >= 0) & (t < n), F.array(tap(low, F.lit(1.0) - (t - low)), tap(F.least(low + 1, n - 1), t - low))).otherwise(none)
-    low, far = _margins(mode)
-    inside = (t >= low) & (t < n - far)
-    return F.when(inside, _kernel_taps(mode, F.when(inside, t).otherwise(F.lit(0.0)))).otherwise(none)
-
-
-def weight_table(cells: DataFrame, mode: int, rest: list[str]) -> DataFrame:
-    """rest, y, x, sy, sx, w of output cells (rest, y, x, inverse, h_in, w_in)."""
-    inv, y, x = F.col("inverse"), F.col("y").cast("double"), F.col("x").cast("double")
-    if mode == S.AREA:
-        x, y = x + 0.5, y + 0.5
-    tx = inv["m00"] * x + inv["m01"] * y + inv["m02"]
-    ty = inv["m10"] * x + inv["m11"] * y + inv["m12"]
-    hx = F.sqrt(inv["m00"] * inv["m00"] + inv["m01"] * inv["m01"]) * 0.5
-    hy = F.sqrt(inv["m10"] * inv["m10"] + inv["m11"] * inv["m11"]) * 0.5
-    at = cells.select(*rest, "y", "x", "h_in", "w_in", tx.alias("tx"), ty.alias("ty"), hx.alias("hx"), hy.alias("hy"))
-    if mode == S.AREA:
-        xs, ys = _area_taps(F.col("tx") - F.col("hx"), F.col("tx") + F.col("hx"), F.col("w_in")), _area_taps(F.col("ty") - F.col("hy"), F.col("ty") + F.col("hy"), F.col("h_in"))
-    else:
-        xs, ys = _axis_taps(mode, F.col("tx"), F.col("w_in")), _axis_taps(mode, F.col("ty"), F.col("h_in"))
-    wide = at.select(*rest, "y", "x", ys.alias("ys"), F.explode(xs).alias("a")).select(*rest, "y", "x", "a", F.explode("ys").alias("b"))
-    return wide.select(*rest, "y", "x", F.col("b.s").alias("sy"), F.col("a.s").alias("sx"), (F.col("a.w") * F.col("b.w")).alias("w"))
-
-
-def _gather(px: DataFrame, weights: DataFrame, cells: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
-    """Weighted means of all cells (keys, y, x); cells without positive weight are 0."""
-    cs = channels(px)
-    told = px.withColumnsRenamed({"y": "sy", "x": "sx"}).join(weights, on).select(*keys, "y", "x", "w", *((F.col("w") * F.col(c)).alias(c) for c in cs))
-    base = cells.select(*keys, "y", "x", F.lit(0.0).alias("w"), *(F.lit(0.0).alias(c) for c in cs))
-    w = F.sum("w")
-    return told.unionByName(base).groupBy(*keys, "y", "x").agg(*(F.when(w > 0, F.sum(c) / F.when(w > 0, w)).otherwise(F.lit(0.0)).alias(c) for c in cs))
-
-
 def auto_mode(m) -> int:
     """MITCHELL if the matrix enlarges along an axis, else AREA."""
     (a, b, _), (d, e, _) = _rows(m)
     return S.MITCHELL if math.hypot(a, d) > 1 or math.hypot(b, e) > 1 else S.AREA
 
 
-def _cell_array(dsize: tuple[int, int]) -> Column:
-    """All output positions (y, x) of an image."""
-    h, w = dsize
-    return F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda i: F.struct(F.floor(i / w).cast("int").alias("y"), (i % w).cast("int").alias("x")))
+def dense(table: pa.Table, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(height, width, channels) of the pixels of one image, and which of them are there."""
+    y, x = (table.column(k).to_numpy() for k in ("y", "x"))
+    size = (int(y.max()) + 1, int(x.max()) + 1)
+    out, there = np.zeros((*size, len(names))), np.zeros(size, bool)
+    there[y, x] = True
+    for k, c in enumerate(names):
+        out[y, x, k] = table.column(c).cast(pa.float64()).to_numpy()
+    return out, there
+
+
+def pixel_table(a: np.ndarray, keys: pa.Table, names: list[str], like: pa.Schema) -> pa.Table:
+    """The pixels of one image as rows; ``keys`` holds its key values in the first row."""
+    h, w = a.shape[:2]
+    y, x = np.divmod(np.arange(h * w), w)
+    fixed = [keys.column(k).combine_chunks().take(pa.array(np.zeros(h * w, np.int64))) for k in keys.column_names]
+    flat = a.reshape(h * w, -1)
+    return pa.Table.from_arrays([*fixed, pa.array(y, pa.int32()), pa.array(x, pa.int32()), *(pa.array(np.ascontiguousarray(flat[:, k])) for k in range(len(names)))], schema=like)
+
+
+def pixel_schema(px: DataFrame, keys: list[str]) -> T.StructType:
+    return T.StructType([*(px.schema[k] for k in keys), T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in channels(px))])
+
+
+def _mode_for(m: tuple[float, ...], mode: int) -> int:
+    return auto_mode((m[:3], m[3:])) if mode == S.AUTO else mode
+
+
+def _flat(m) -> tuple[float, ...]:
+    return tuple(v for r in _rows(m) for v in r)
 
 
 def affine_transform(px: DataFrame, m, dsize: tuple[int, int], flags: int | str = S.AUTO, keys: list[str] | None = None, size: tuple[int, int] | None = None) -> DataFrame:
     """Warp every image by the matrix ``m`` (source to destination) into dsize = (height, width).
-    ``size`` = (width, height) of all sources spares measuring them. Positions outside are 0; values
-    are neither converted nor clipped."""
-    keys = keys or ["image_id"]
-    mode = S.mode_of(flags)
-    mode = auto_mode(m) if mode == S.AUTO else mode
-    inverse = matrix_column(get_inverse_matrix(m))
-    cells = grid(px.sparkSession, *dsize)
-    images = px.select(*keys).distinct()
-    if size is None:
-        return _warp(px, images.withColumn("inverse", inverse), dsize, mode, keys)
-    weights = weight_table(cells.withColumns({"inverse": inverse, "h_in": F.lit(size[1]), "w_in": F.lit(size[0])}), mode, [])
-    return _gather(px, weights, images.select(*keys, F.explode(_cell_array(dsize)).alias("p")).select(*keys, "p.y", "p.x"), keys, ["sy", "sx"])
+    ``size`` = (width, height) of all sources; else an image ends at its last pixel. Positions outside
+    are 0; values are neither converted nor clipped."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    keys, cs = keys or ["image_id"], channels(px)
+    inverse, mode = _flat(get_inverse_matrix(m)), _mode_for(_flat(m), S.mode_of(flags))
+    schema = pixel_schema(px, keys)
+    like = to_arrow_schema(schema)
 
+    def run(table: pa.Table) -> pa.Table:
+        a, there = _sized(*dense(table, cs), size)
+        return pixel_table(warp_array(a, inverse, dsize, mode, there), table.select(keys), cs, like)
 
-def _warp(px: DataFrame, matrices: DataFrame, dsize: tuple[int, int], mode: int, keys: list[str]) -> DataFrame:
-    """A matrix per image: ``matrices`` has the keys and ``inverse``."""
-    cells = matrices.join(sizes(px, keys), keys).select(*keys, "inverse", "h_in", "w_in", F.explode(_cell_array(dsize)).alias("p")).select(*keys, "inverse", "h_in", "w_in", "p.y", "p.x")
-    return _gather(px, weight_table(cells, mode, keys), cells, keys, [*keys, "sy", "sx"])
+    return px.select(*keys, "y", "x", *cs).groupBy(*keys).applyInArrow(run, schema)
+
+
+def _sized(a: np.ndarray, there: np.ndarray, size: tuple[int, int] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Padded or cut to size = (width, height)."""
+    if size is None or a.shape[:2] == size[::-1]:
+        return a, there
+    out, mask = np.zeros((size[1], size[0], a.shape[2])), np.zeros(size[::-1], bool)
+    h, w = min(size[1], a.shape[0]), min(size[0], a.shape[1])
+    out[:h, :w], mask[:h, :w] = a[:h, :w], there[:h, :w]
+    return out, mask
 
 
 def affine_transform_by(px: DataFrame, matrices: DataFrame, dsize: tuple[int, int], flags: int | str = S.AUTO, keys: list[str] | None = None) -> DataFrame:
-    """The same with a matrix per image: ``matrices`` has the keys and a struct column ``matrix``."""
-    keys = keys or ["image_id"]
-    mode = S.mode_of(flags)
-    k = F.col("matrix")
-    made = matrices.select(*keys, "matrix", inverse_columns(k).alias("inverse"))
-    if mode != S.AUTO:
-        return _warp(px, made.drop("matrix"), dsize, mode, keys)
-    grows = (k["m00"] * k["m00"] + k["m10"] * k["m10"] > 1) | (k["m01"] * k["m01"] + k["m11"] * k["m11"] > 1)
-    parts = [_warp(px, made.where(c).drop("matrix"), dsize, md, keys) for c, md in ((grows, S.MITCHELL), (~grows, S.AREA))]
-    return parts[0].unionByName(parts[1])
+    """The same with a matrix per image: ``matrices`` has the keys and a struct column ``matrix``. Images
+    without a matrix and matrices without an image give nothing."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    keys, cs, flags = keys or ["image_id"], channels(px), S.mode_of(flags)
+    schema = pixel_schema(px, keys)
+    like = to_arrow_schema(schema)
+    parts = [f"m{i}{j}" for i in range(2) for j in range(3)]
+
+    def run(pixels: pa.Table, own: pa.Table) -> pa.Table:
+        if not (pixels.num_rows and own.num_rows):
+            return like.empty_table()
+        m = own.column("matrix")[0].as_py()
+        flat = tuple(m[k] for k in parts)
+        a, there = dense(pixels, cs)
+        return pixel_table(warp_array(a, _flat(get_inverse_matrix((flat[:3], flat[3:]))), dsize, _mode_for(flat, flags), there), own.select(keys), cs, like)
+
+    # Renamed, since both sides may come from one table.
+    left, right = px.select(*keys, "y", "x", *cs).groupBy(*keys), matrices.select(*(F.col(k).alias(k) for k in keys), "matrix").groupBy(*keys)
+    return left.cogroup(right).applyInArrow(run, schema)
 
 
 def template(size: int) -> list[tuple[float, float]]:

@@ -14,6 +14,7 @@ from .. import schema as S
 from ..functions.taps import CUBICS, SINCS
 from .filters import create_gaussian_kernel
 from .pixels import channels
+from .warp import kernel
 
 NUMPY = {"uint8": "<u1", "uint16": "<u2", "float16": "<f2", "float32": "<f4", "float64": "<f8"}
 
@@ -60,15 +61,9 @@ def weights(mode: int, n_in: int, n_out: int) -> np.ndarray:
         first = np.floor(p - 1) if half else np.floor(p) - (1 if mode == S.CUBIC else a)
         for k in range(4 if half or mode == S.CUBIC else 2 * a + 1):
             s = (first + k).astype(int)
-            d = np.abs(p - s)
+            v = kernel(mode, p - s)
             if mode == S.CUBIC:
-                v = np.where(d <= 1, 1.5 * d**3 - 2.5 * d**2 + 1, np.where(d < 2, -0.5 * d**3 + 2.5 * d**2 - 4 * d + 2, 0))
                 s = np.clip(s, 0, n_in - 1)
-            elif half:
-                b, c = CUBICS[mode]
-                v = np.where(d < 1, ((12 - 9 * b - 6 * c) * d**3 + (-18 + 12 * b + 6 * c) * d**2 + 6 - 2 * b) / 6, np.where(d < 2, ((-b - 6 * c) * d**3 + (6 * b + 30 * c) * d**2 + (-12 * b - 48 * c) * d + 8 * b + 24 * c) / 6, 0))
-            else:
-                v = np.where(d < a, np.sinc(d) * np.sinc(d / a), 0)
             ok = (s >= 0) & (s < n_in)
             np.add.at(w, (o[ok], s[ok]), v[ok])
     total = w.sum(axis=1, keepdims=True)

@@ -1,15 +1,19 @@
 """Three-dimensional look-up tables.
 
-A table of N^3 colours is bounded (N is checked) and becomes one folded constant of the plan: applying
-it is a projection without join or shuffle. Up to CELLS steps the constant holds the eight corners of each
-cell, so a pixel reads one entry and the rest is compiled arithmetic; larger tables are read corner by
-corner. Red is the slowest index, blue the fastest."""
+A table of N^3 colours is bounded (N is checked), so applying it needs no join and no shuffle. Up to CELLS
+steps it becomes a constant of the plan that holds the eight corners of each cell: a pixel reads one
+entry and the rest is compiled arithmetic. Larger tables (at most 129^3 colours, 52 MB) are a broadcast
+array that Arrow batches of pixels are looked up in. Red is the slowest index, blue the fastest."""
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import color
 from ..functions.dtype import clip
@@ -34,15 +38,6 @@ def lut_values(lut: DataFrame) -> tuple[int, list[float]]:
     return n, flat
 
 
-def constant(values: list[float]) -> Column:
-    """An array of doubles that the optimizer folds into one literal."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
-
-
-def _let(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _blend(interpolation: int, at, f: tuple[Column, Column, Column]) -> list[Column]:
     """Three mixed channels; ``at(c, ch)`` is the value of corner c (bits red 4, green 2, blue 1 for high)."""
     x, y, z = f
@@ -88,10 +83,40 @@ def apply_lut(px: DataFrame, lut: DataFrame, interpolation: int = TRILINEAR) ->
         px = px.select(*rest, "_s0", "_s1", "_s2", F.get(_cells(n, flat), (i * (n - 1) + j) * (n - 1) + k).alias("_cell"))
         out = _blend(interpolation, lambda c, ch: F.get(F.col("_cell"), c * 3 + ch), f)
         return px.select(*rest, *(v.alias(f"c{c}") for c, v in enumerate(out)))
-    bit = lambda c, b: F.shiftright(c, b).bitwiseAND(F.lit(1))
-    at = lambda t: lambda c, ch: F.get(t, (((i + bit(c, 2)) * n + j + bit(c, 1)) * n + k + bit(c, 0)) * 3 + ch)
-    found = _let(constant(flat), lambda t: F.struct(*(v.alias(f"c{c}") for c, v in enumerate(_blend(interpolation, at(t), f)))))
-    return px.select(*rest, found.alias("_c")).select(*rest, *(F.col(f"_c.c{i}").alias(f"c{i}") for i in range(3)))
+    shared = px.sparkSession.sparkContext.broadcast(np.array(flat).reshape(n, n, n, 3))
+    schema = T.StructType([*(px.schema[c] for c in rest), *(T.StructField(f"c{c}", T.DoubleType()) for c in range(3))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = np.stack([b.column(f"_s{i}").to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
+            out = look_up(shared.value, s, interpolation)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *(pa.array(np.ascontiguousarray(out[:, c])) for c in range(3))], [*rest, "c0", "c1", "c2"])
+
+    return px.mapInArrow(run, schema)
+
+
+def look_up(table: np.ndarray, place: np.ndarray, interpolation: int) -> np.ndarray:
+    """Colours at the places (row, 3), in steps, of a table (n, n, n, 3)."""
+    base = np.minimum(np.floor(place), table.shape[0] - 2).astype(np.int64)
+    f = place - base
+    at = lambda d: table[base[:, 0] + d[0], base[:, 1] + d[1], base[:, 2] + d[2]]
+    if interpolation == TRILINEAR:
+        out = 0.0
+        for c in range(8):
+            d = (c >> 2, c >> 1 & 1, c & 1)
+            share = np.prod([f[:, i] if d[i] else 1 - f[:, i] for i in range(3)], axis=0)
+            out = out + share[:, None] * at(d)
+        return out
+    # From the low to the high corner along the axes in falling order of their fractions.
+    order = np.argsort(-f, axis=1, kind="stable")
+    steps = np.take_along_axis(f, order, axis=1)
+    corner = np.zeros_like(base)
+    out, before = 0.0, np.ones(len(f))
+    for k in range(3):
+        out = out + (before - steps[:, k])[:, None] * at(corner.T)
+        before = steps[:, k]
+        np.put_along_axis(corner, order[:, k : k + 1], 1, axis=1)
+    return out + before[:, None] * at(corner.T)
 
 
 def _each(px: DataFrame, f) -> DataFrame:

@@ -1,15 +1,18 @@
 """Detection and embedding post-processing: anchors, boxes, suppression, top-k, letterbox, pasting."""
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.dtype import clip, to_float32
-from .affine import affine_transform, affine_transform_by, crop_matrix, get_inverse_matrix
+from .affine import _flat, _sized, affine_transform_by, auto_mode, crop_matrix, dense, get_inverse_matrix, pixel_schema
 from .filters import gaussian_blur
 from .pixels import channels, grid
 from .resample import resize
+from .warp import warp_array
 
 NMS_THRESHOLD, SCORE_THRESHOLD, INPUT_SIZE = 0.4, 0.5, (640, 640)
 # Number of outputs of a detector to (feature maps, strides, anchors a cell, keypoints).
@@ -57,21 +60,28 @@ def decode_heads(heads: DataFrame, input_size: tuple[int, int] = INPUT_SIZE, num
 
 def nms(boxes: DataFrame, threshold: float = NMS_THRESHOLD, keys: list[str] | None = None, order: str = "id") -> DataFrame:
     """Greedy suppression per image: by score (ties by ``order``), a box goes if its overlap with a kept
-    one exceeds the threshold; sides count with one pixel more. One exchange; an image's boxes are folded
-    in score order against the kept ones."""
+    one exceeds the threshold; sides count with one pixel more. One exchange; the boxes of an image (at
+    most its anchors) are compared with each kept one as arrays."""
     keys = keys or ["image_id"]
-    box = F.struct((-F.col("score")).alias("s"), F.col(order).alias("id"), *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")))
-    kind = "array<struct<s:double,id:bigint,x1:double,y1:double,x2:double,y2:double>>"
-    area = lambda b: (b["x2"] - b["x1"] + 1.0) * (b["y2"] - b["y1"] + 1.0)
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def beyond(a: Column, b: Column) -> Column:
-        w = F.greatest(F.lit(0.0), F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]) + 1.0)
-        h = F.greatest(F.lit(0.0), F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]) + 1.0)
-        return w * h > (area(a) + area(b) - w * h) * threshold
+    boxes = boxes.select(*keys, order, F.col("score").cast("double").alias("score"), *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")))
+    like = to_arrow_schema(boxes.schema)
 
-    listed = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(box)).cast(kind).alias("all"))
-    kept = F.aggregate("all", F.array().cast(kind), lambda acc, b: F.when(F.exists(acc, lambda a: beyond(a, b)), acc).otherwise(F.concat(acc, F.array(b))))
-    return listed.select(*keys, F.explode(kept).alias("b")).select(*keys, F.col("b.id").alias(order), (-F.col("b.s")).alias("score"), *(f"b.{c}" for c in ("x1", "y1", "x2", "y2")))
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("score", "descending"), (order, "ascending")])
+        x1, y1, x2, y2 = (table.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2"))
+        area = (x2 - x1 + 1.0) * (y2 - y1 + 1.0)
+        kept, left = [], np.arange(len(area))
+        while len(left):
+            k, left = left[0], left[1:]
+            kept.append(k)
+            w = np.maximum(0.0, np.minimum(x2[k], x2[left]) - np.maximum(x1[k], x1[left]) + 1.0)
+            h = np.maximum(0.0, np.minimum(y2[k], y2[left]) - np.maximum(y1[k], y1[left]) + 1.0)
+            left = left[w * h <= (area[k] + area[left] - w * h) * threshold]
+        return table.take(pa.array(kept, pa.int64())).select(like.names).cast(like)
+
+    return boxes.groupBy(*keys).applyInArrow(run, boxes.schema)
 
 
 def top_faces(boxes: DataFrame, max_num: int, image_size: tuple[int, int], metric: str = "default", keys: list[str] | None = None, order: str = "id") -> DataFrame:
@@ -138,18 +148,36 @@ def paste_back(target: DataFrame, paste: DataFrame, m, size: tuple[int, int], ma
     """Blend ``paste``, warped back by the inverse of ``m``, over ``target`` of size = (height, width).
     ``paste_size`` = (height, width) of all pastes spares measuring them."""
     keys = keys or ["image_id"]
-    back = get_inverse_matrix(m)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     cs = channels(target)
-    plain = paste.select(*keys, "y", "x", *(to_float32(F.col(c)).alias(c) for c in cs))
+    forward = _flat(m)
+    back = get_inverse_matrix(m)
+    mode = auto_mode(back)
+    plain = paste.select(*(F.col(k).alias(k) for k in keys), "y", "x", *(to_float32(F.col(c)).cast("double").alias(c) for c in cs))
     if mask is None:
         with_mask = plain.withColumn("c90", F.lit(1.0))
     else:
         with_mask = plain.join(mask.select("y", "x", F.col("c0").alias("c90")), ["y", "x"])
-    warped = affine_transform(with_mask, back, size, keys=keys, size=paste_size[::-1] if paste_size else None)
-    warped = warped.select(*keys, "y", "x", F.col("c90").alias("_m"), *(F.col(c).alias(f"_{c}") for c in cs))
-    both = target.join(warped, [*keys, "y", "x"], "left")
-    m_ = F.coalesce("_m", F.lit(0.0))
-    return both.select(*keys, "y", "x", *((m_ * F.coalesce(F.col(f"_{c}"), F.lit(0.0)) + (F.lit(1.0) - m_) * to_float32(F.col(c))).alias(c) for c in cs))
+    ground = target.select(*keys, "y", "x", *(to_float32(F.col(c)).cast("double").alias(c) for c in cs))
+    schema = pixel_schema(ground, keys)
+    like = to_arrow_schema(schema)
+
+    def run(below: pa.Table, above: pa.Table) -> pa.Table:
+        """One exchange of each side by image; the blend stays in the worker."""
+        if not (below.num_rows and above.num_rows):
+            return below.select(like.names).cast(like)
+        a, there = dense(above, [*cs, "c90"])
+        a, there = _sized(a, there, paste_size[::-1] if paste_size else None)
+        warped = warp_array(a, forward, size, mode, there)
+        y, x = (below.column(k).to_numpy() for k in ("y", "x"))
+        inside = (y < size[0]) & (x < size[1])
+        got = warped[np.where(inside, y, 0), np.where(inside, x, 0)] * inside[:, None]
+        share = got[:, -1]
+        mixed = [share * got[:, k] + (1 - share) * below.column(c).to_numpy() for k, c in enumerate(cs)]
+        return pa.Table.from_arrays([*(below.column(k) for k in (*keys, "y", "x")), *map(pa.array, mixed)], names=like.names).cast(like)
+
+    return ground.groupBy(*keys).cogroup(with_mask.groupBy(*keys)).applyInArrow(run, schema)
 
 
 class PasteBack:
