@@ -238,7 +238,8 @@ def crop_matrix_from_kps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, *out.columns[1:])
 
 
-add("crop_matrix_from_kps", crop_matrix_from_kps, T.crop_matrix(A.TEMPLATE))
+_KPS = T.points_of_embeddings(A.TEMPLATE)
+add("crop_matrix_from_kps", crop_matrix_from_kps, f"WITH {T.crop_matrix(A.TEMPLATE, _KPS, 'vec_id')} SELECT vec_id, {T.rounded(*T.MATRIX)} FROM m")
 
 
 def crop_from_kps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,7 +247,7 @@ def crop_from_kps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(crops, "c0", "c1", "c2")
 
 
-add("crop_from_kps", crop_from_kps)
+add("crop_from_kps", crop_from_kps, f"WITH {X.SQL['img']}, {T.LARGE}, {T.crop_matrix(A.template(16), _KPS, 'vec_id')}, {T.shrunk_crops('big', 24, 16, ['c0', 'c1', 'c2'])} SELECT vec_id, y::INT AS y, x::INT AS x, {T.rounded('c0', 'c1', 'c2')} FROM z")
 
 # --- filters -------------------------------------------------------------------------------------------
 
@@ -473,4 +474,6 @@ def face_align_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, *out.columns[2:])
 
 
-add("face_align_pipeline", face_align_pipeline)
+_FACES = f"SELECT image_id AS img, anchor_idx AS id, score, {_AX} - d0 * 8 AS x1, {_AY} - d1 * 8 AS y1, {_AX} + d2 * 8 AS x2, {_AY} + d3 * 8 AS y2, " + ", ".join(f"greatest({a} + k{2 * k + j} * 8, 0e0) AS p{k}{j}" for k in range(5) for j, a in enumerate((_AX, _AY))) + " FROM heads WHERE score >= 0.5"
+_POINTS = " UNION ALL ".join(f"SELECT img AS image_id, id, {k} AS k, p{k}0 AS sx, p{k}1 AS sy FROM best" for k in range(5))
+add("face_align_pipeline", face_align_pipeline, f"WITH {X.SQL['heads']}, faces AS ({_FACES}), kept AS ({T.nms('boxes AS (SELECT img, id, score, x1, y1, x2, y2 FROM faces)', 0.4)}), best AS (SELECT faces.* FROM faces JOIN kept USING (img, id) QUALIFY row_number() OVER (PARTITION BY img ORDER BY (x2 - x1) * (y2 - y1) DESC, id) = 1), {T.crop_matrix(A.TEMPLATE, _POINTS, 'image_id, id')} SELECT image_id, id::BIGINT AS id, {T.rounded(*T.MATRIX)} FROM m")

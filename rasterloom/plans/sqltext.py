@@ -152,15 +152,38 @@ l AS (SELECT img, max(rn) AS rn FROM s GROUP BY img)
 SELECT img, unnest(kept).id AS id FROM s JOIN l USING (img, rn)"""
 
 
-def crop_matrix(template: tuple[tuple[float, float], ...]) -> str:
+def points_of_embeddings(template: tuple[tuple[float, float], ...]) -> str:
+    """(vec_id, k, sx, sy): five points near ``template``, as the fixture makes them."""
+    rows = ", ".join(f"({k}, {x!r}::DOUBLE, {y!r}::DOUBLE)" for k, (x, y) in enumerate(template))
+    return f"SELECT vec_id, k, embedding[2 * k + 1]::DOUBLE * 20 + px AS sx, embedding[2 * k + 2]::DOUBLE * 20 + py AS sy FROM embeddings, (VALUES {rows}) t(k, px, py)"
+
+
+def crop_matrix(template, points: str, ids: str) -> str:
+    """CTEs up to ``m``: the similarity matrix (ids, m00..m12) that takes ``points`` (ids, k, sx, sy) onto the template."""
     mx, my = sum(p[0] for p in template) / 5, sum(p[1] for p in template) / 5
     rows = ", ".join(f"({k}, {x!r}::DOUBLE, {y!r}::DOUBLE)" for k, (x, y) in enumerate(template))
-    return f"""WITH d(k, dx, dy) AS (VALUES {rows}),
-p AS (SELECT vec_id, k, embedding[2 * k + 1]::DOUBLE * 20 + dx AS sx, embedding[2 * k + 2]::DOUBLE * 20 + dy AS sy, dx - {mx!r}::DOUBLE AS dx, dy - {my!r}::DOUBLE AS dy FROM embeddings, d),
-c AS (SELECT *, sx - avg(sx) OVER (PARTITION BY vec_id) AS px, sy - avg(sy) OVER (PARTITION BY vec_id) AS py FROM p),
-a AS (SELECT vec_id, avg(sx) AS mx, avg(sy) AS my, sum(sqrt(dx * dx + dy * dy)) / sum(sqrt(px * px + py * py)) AS scale, sum(px * dx + py * dy) AS co, sum(px * dy - py * dx) AS si FROM c GROUP BY vec_id),
-m AS (SELECT *, scale * co / sqrt(co * co + si * si) AS a, scale * si / sqrt(co * co + si * si) AS b FROM a)
-SELECT vec_id, round(a, 6) + 0e0 AS m00, round(-b, 6) + 0e0 AS m01, round({mx!r}::DOUBLE - (a * mx - b * my), 6) + 0e0 AS m02, round(b, 6) + 0e0 AS m10, round(a, 6) + 0e0 AS m11, round({my!r}::DOUBLE - (b * mx + a * my), 6) + 0e0 AS m12 FROM m"""
+    return f"""d(k, dx, dy) AS (VALUES {rows}), pt AS ({points}),
+p AS (SELECT pt.*, dx - {mx!r}::DOUBLE AS dx, dy - {my!r}::DOUBLE AS dy FROM pt JOIN d USING (k)),
+c AS (SELECT *, sx - avg(sx) OVER (PARTITION BY {ids}) AS px, sy - avg(sy) OVER (PARTITION BY {ids}) AS py FROM p),
+a AS (SELECT {ids}, avg(sx) AS mx, avg(sy) AS my, sum(sqrt(dx * dx + dy * dy)) / sum(sqrt(px * px + py * py)) AS scale, sum(px * dx + py * dy) AS co, sum(px * dy - py * dx) AS si FROM c GROUP BY {ids}),
+ab AS (SELECT *, scale * co / sqrt(co * co + si * si) AS a, scale * si / sqrt(co * co + si * si) AS b FROM a),
+m AS (SELECT {ids}, a AS m00, -b AS m01, {mx!r}::DOUBLE - (a * mx - b * my) AS m02, b AS m10, a AS m11, {my!r}::DOUBLE - (b * mx + a * my) AS m12 FROM ab)"""
+
+
+MATRIX = ("m00", "m01", "m02", "m10", "m11", "m12")
+
+
+def shrunk_crops(source: str, n: int, size: int, channels: list[str]) -> str:
+    """CTEs after ``m``: crops ``z`` of ``source`` (n x n images) by area means, a matrix per image."""
+    edge = lambda s, lo, hi, low, high: f"CASE WHEN {s} = {hi} - 1 THEN 1 - ({s} + 1 - ({high})) WHEN {s} = {lo} THEN 1 - (({low}) - {s}) ELSE 1e0 END"
+    means = ", ".join(f"CASE WHEN sum(w) > 0 THEN sum(w * {c}) / sum(w) ELSE 0e0 END AS {c}" for c in channels)
+    return f"""dt AS (SELECT *, m00 * m11 - m01 * m10 AS det FROM m),
+iv AS (SELECT vec_id, m11 / det AS a, -m01 / det AS b, (m01 * m12 - m02 * m11) / det AS c, -m10 / det AS d, m00 / det AS e, (m02 * m10 - m00 * m12) / det AS f FROM dt),
+bx AS (SELECT vec_id, y, x, a * (x + 0.5e0) + b * (y + 0.5e0) + c AS cx, d * (x + 0.5e0) + e * (y + 0.5e0) + f AS cy, 0.5e0 * sqrt(a * a + b * b) AS hx, 0.5e0 * sqrt(d * d + e * e) AS hy FROM iv, range({size}) p(y), range({size}) q(x)),
+lm AS (SELECT *, greatest(0, floor(cx - hx)::INT) AS x0, least({n}, ceil(cx + hx)::INT) AS x1, greatest(0, floor(cy - hy)::INT) AS y0, least({n}, ceil(cy + hy)::INT) AS y1 FROM bx),
+k AS (SELECT lm.vec_id, lm.y, lm.x, ({edge('i.x', 'x0', 'x1', 'cx - hx', 'cx + hx')}) * ({edge('i.y', 'y0', 'y1', 'cy - hy', 'cy + hy')}) AS w, {', '.join(f'i.{c}' for c in channels)} FROM lm JOIN {source} i ON i.vec_id = lm.vec_id AND i.x >= x0 AND i.x < x1 AND i.y >= y0 AND i.y < y1),
+v AS (SELECT vec_id, y, x, {means} FROM k GROUP BY vec_id, y, x),
+z AS (SELECT lm.vec_id, lm.y, lm.x, {', '.join(f'coalesce(v.{c}, 0e0) AS {c}' for c in channels)} FROM lm LEFT JOIN v USING (vec_id, y, x))"""
 
 
 def paste_mask(h: int, w: int) -> str:
