@@ -1,8 +1,8 @@
 """Image files in and out: `spark.read.format("binaryFile")` plus decoders on the executors.
 
-PNG (8 and 16 bit, no interlace), BMP (24 and 32 bit) and uncompressed TIFF are read and written without
-imaging libraries; JPEG and others are read through Spark's ``image`` source (8 bit). EXR and JPEG
-writing need a codec that is not here and raise ``ValueError``."""
+PNG (8 and 16 bit, no interlace), BMP (24 and 32 bit), TIFF (plain, LZW or deflate) and OpenEXR (plain or
+ZIP) are read and written, and baseline JPEG written, without imaging libraries; JPEG and others are read
+through Spark's ``image`` source (8 bit)."""
 from __future__ import annotations
 
 import struct
@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators.arrays import decode_data, encode_data
+from .exr import MAGIC as _EXR
+from .exr import decode_exr, encode_exr
+from .jpegfile import encode_jpeg
 
+OWN = ("png", "bmp", "tif", "tiff", "exr")
 _PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -107,12 +111,76 @@ def decode_bmp(data: bytes) -> np.ndarray:
     return (a[::-1] if h > 0 else a).copy()
 
 
-def encode_tiff(a: np.ndarray) -> bytes:
-    """(height, width, 3) RGB, uint8 or uint16, one uncompressed strip, little-endian."""
+def lzw(data: bytes) -> bytes:
+    """LZW as TIFF has it: codes from the highest bit, one bit wider one code early, cleared at 4,094."""
+    table, bits, word, out, held, n = {bytes([i]): i for i in range(256)}, 9, b"", bytearray(), 256, 9
+    fresh = dict(table)
+
+    def put(code: int) -> None:
+        nonlocal held, n
+        held, n = held << bits | code, n + bits
+
+    for byte in data:
+        longer = word + bytes([byte])
+        if longer in table:
+            word = longer
+            continue
+        put(table[word])
+        table[longer] = len(table) + 2
+        if len(table) + 2 == 4095:
+            put(256)
+            table, bits = dict(fresh), 9
+        elif len(table) + 2 >= (1 << bits):
+            bits += 1
+        word = bytes([byte])
+        while n >= 8:
+            n -= 8
+            out.append(held >> n)
+            held &= (1 << n) - 1
+    if word:
+        put(table[word])
+        if len(table) + 3 >= (1 << bits) and bits < 12:
+            bits += 1
+    put(257)
+    out += (held << -n % 8).to_bytes((n + 7) // 8, "big")
+    return bytes(out)
+
+
+def unlzw(data: bytes) -> bytes:
+    table, bits, out, held, n, prior = [], 9, [], 0, 0, None
+    for byte in data:
+        held, n = held << 8 | byte, n + 8
+        if n < bits:
+            continue
+        n -= bits
+        code, held = held >> n, held & ((1 << n) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, bits, prior = [bytes([i]) for i in range(256)] + [b"", b""], 9, None
+            continue
+        if prior is None:
+            word = table[code]
+        else:
+            word = table[code] if code < len(table) else prior + prior[:1]
+            table.append(prior + word[:1])
+        out.append(word)
+        prior = word
+        if len(table) + 1 >= (1 << bits) and bits < 12:
+            bits += 1
+    return b"".join(out)
+
+
+def encode_tiff(a: np.ndarray, compression: int = 5) -> bytes:
+    """(height, width, 3) RGB, uint8 or uint16, one strip, little-endian; compression 1 (none), 5 (LZW) or
+    8 and 32946 (deflate)."""
+    pack = {1: lambda x: x, 5: lzw, 8: zlib.compress, 32946: zlib.compress}
+    if compression not in pack:
+        raise ValueError(f"TIFF compression {compression} is not supported")
     h, w, c = a.shape
     bits = 8 * a.dtype.itemsize
-    body = a.astype(a.dtype.newbyteorder("<")).tobytes()
-    tags = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, c, None), (259, 3, 1, 1), (262, 3, 1, 2), (273, 4, 1, None), (277, 3, 1, c), (278, 4, 1, h), (279, 4, 1, len(body))]
+    body = pack[compression](a.astype(a.dtype.newbyteorder("<")).tobytes())
+    tags = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, c, None), (259, 3, 1, compression), (262, 3, 1, 2), (273, 4, 1, None), (277, 3, 1, c), (278, 4, 1, h), (279, 4, 1, len(body))]
     extra = 8 + 2 + 12 * len(tags) + 4
     out = b"II*\x00" + struct.pack("<IH", 8, len(tags))
     for tag, kind, n, value in tags:
@@ -122,7 +190,7 @@ def encode_tiff(a: np.ndarray) -> bytes:
 
 
 def decode_tiff(data: bytes) -> np.ndarray:
-    """(height, width, channels) of an uncompressed contiguous TIFF."""
+    """(height, width, channels) of a contiguous TIFF in strips."""
     e = "<" if data[:2] == b"II" else ">"
     (at,) = struct.unpack_from(e + "I", data, 4)
     tags = {}
@@ -134,11 +202,14 @@ def decode_tiff(data: bytes) -> np.ndarray:
             (place,) = struct.unpack_from(e + "I", data, place)
         if size:
             tags[tag] = struct.unpack_from(f"{e}{n}{ {1: 'B', 3: 'H', 4: 'I'}[kind]}", data, place)
-    if tags.get(259, (1,))[0] != 1:
-        raise ValueError("only uncompressed TIFF")
+    unpack = {1: lambda x: x, 5: unlzw, 8: zlib.decompress, 32946: zlib.decompress}.get(tags.get(259, (1,))[0])
+    if unpack is None or tags.get(317, (1,))[0] not in (1, 2):
+        raise ValueError("this TIFF compression is not supported")
     w, h, c, bits = tags[256][0], tags[257][0], tags.get(277, (1,))[0], tags[258][0]
-    body = b"".join(data[o : o + n] for o, n in zip(tags[273], tags[279]))
+    body = b"".join(unpack(data[o : o + n]) for o, n in zip(tags[273], tags[279]))
     a = np.frombuffer(body, "u1" if bits == 8 else e + "u2").reshape(h, w, c)
+    if tags.get(317, (1,))[0] == 2:  # differences along a line
+        a = np.cumsum(a.astype(np.int64), axis=1) & (1 << bits) - 1
     return a.astype(np.uint8 if bits == 8 else np.uint16)
 
 
@@ -157,7 +228,9 @@ def decode(data: bytes) -> np.ndarray:
             return decode_bmp(data)
         if data[:4] in (b"II*\x00", b"MM\x00*"):
             return np.ascontiguousarray(_bgr(decode_tiff(data)))
-    except (ValueError, KeyError, struct.error, zlib.error) as e:
+        if data[:4] == struct.pack("<i", _EXR):
+            return np.ascontiguousarray(decode_exr(data)[:, :, ::-1])
+    except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
         raise RuntimeError(f"cannot decode image: {e}") from e
     raise RuntimeError("cannot decode image: unknown format")
 
@@ -171,7 +244,8 @@ def imread(spark: SparkSession, path: str, is_rgb: bool = False) -> DataFrame:
     if found is None or not len(found):
         raise FileNotFoundError(path)
     files = spark.read.format("binaryFile").load(path)
-    own = F.lower(F.element_at(F.split("path", r"\."), -1)).isin("png", "bmp", "tif", "tiff")
+    suffix = lambda c: F.lower(F.element_at(F.split(c, r"\."), -1))
+    own = suffix("path").isin(*OWN)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -180,14 +254,16 @@ def imread(spark: SparkSession, path: str, is_rgb: bool = False) -> DataFrame:
                 a = decode(r.content)
                 if is_rgb:
                     a = a[:, :, ::-1]
-                kind = "uint8" if a.dtype.itemsize == 1 else "uint16"
+                kind = a.dtype.name
                 out.append((r.image_id, r.path, a.shape[0], a.shape[1], 3, kind, "rgb" if is_rgb else "bgr", encode_data(a, kind)))
             yield pd.DataFrame(out, columns=S.IMAGE.fieldNames())
 
     mine = files.where(own).select(F.xxhash64("path").alias("image_id"), "path", "content").mapInPandas(run, S.IMAGE)
-    if not files.where(~own).limit(1).count():
+    # Names only: the reader takes each other file by its path, so none is opened twice.
+    others = [r["path"] for r in files.where(~own).select("path").collect()]
+    if not others:
         return mine
-    other = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*").where(~F.lower(F.element_at(F.split("origin", r"\."), -1)).isin("png", "bmp", "tif", "tiff"))
+    other = spark.read.format("image").option("dropInvalid", "false").load(others).select("image.*")
 
     def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -205,17 +281,24 @@ def imread(spark: SparkSession, path: str, is_rgb: bool = False) -> DataFrame:
 
 
 def encode(data: bytes, height: int, width: int, channels: int, dtype: str, suffix: str, is_rgb: bool = False, param: int = -1) -> bytes:
-    """A file of the format of ``suffix``: PNG and TIFF keep 8 bits or take 16, BMP takes 8."""
+    """A file of the format of ``suffix``: PNG and TIFF keep 8 bits or take 16, BMP and JPEG take 8, EXR
+    takes half floats. ``param`` is the compression of PNG (3), of TIFF (5, LZW) or the quality of JPEG (100)."""
     suffix = suffix.lower().lstrip(".")
     a = decode_data(data, height, width, channels, dtype)
     rgb = a if is_rgb or channels == 1 else a[:, :, 2::-1]
     if suffix in ("png", "tif", "tiff"):
         kind = "uint8" if dtype == "uint8" else "uint16"
         rgb = np.frombuffer(encode_data(np.asarray(rgb, np.float64) if dtype not in ("uint8", "uint16") else rgb, kind), "<u1" if kind == "uint8" else "<u2").reshape(height, width, -1)
-        return encode_png(rgb, 3 if param < 0 else param) if suffix == "png" else encode_tiff(np.repeat(rgb, 3, axis=2) if channels == 1 else rgb)
-    if suffix == "bmp":
+        return encode_png(rgb, 3 if param < 0 else param) if suffix == "png" else encode_tiff(np.repeat(rgb, 3, axis=2) if channels == 1 else rgb, 5 if param < 0 else param)
+    if suffix == "exr":
+        real = a.astype(np.float64) / {"uint8": 255.0, "uint16": 65535.0}.get(dtype, 1.0)
+        real = np.repeat(real, 3, axis=2) if channels == 1 else real if is_rgb else real[:, :, 2::-1]
+        return encode_exr(real[:, :, :3])
+    if suffix in ("bmp", "jpg", "jpeg"):
         unit = decode_data(data, height, width, channels, dtype, unit=True)
         small = a if dtype == "uint8" else np.floor(np.clip(unit * 255.0, 0, 255)).astype(np.uint8)
+        if suffix != "bmp":
+            return encode_jpeg(small if is_rgb or channels == 1 else small[:, :, 2::-1], 100 if param < 0 else param)
         small = np.repeat(small, 3, axis=2) if channels == 1 else small
         return encode_bmp(small[:, :, ::-1] if is_rgb else small)
     raise ValueError(f"no encoder for .{suffix}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rasterloom import schema as S
 from rasterloom.operators import arrays
-from rasterloom.sources import cube, images, rawvideo
+from rasterloom.sources import cube, exr, images, jpegfile, rawvideo
 from rasterloom.streaming import frames
 
 from .test_operators import image_rows
@@ -39,10 +39,77 @@ def test_read_errors_and_unwritable(spark, tmp_path):
     (tmp_path / "bad.png").write_bytes(b"no image")
     with pytest.raises(Exception, match="cannot decode"):
         images.imread(spark, str(tmp_path / "bad.png")).collect()
-    done = images.imwrite(image_rows(spark, [rng.random((2, 2, 3))]), str(tmp_path / "x"), "exr").collect()
+    done = images.imwrite(image_rows(spark, [rng.random((2, 2, 3))]), str(tmp_path / "x"), "webp").collect()
     assert [r["ok"] for r in done] == [False]
 
 
+def smooth(h, w):
+    y, x = np.mgrid[:h, :w]
+    return np.clip(np.stack([np.sin(x / 9) * 0.4 + 0.5, np.cos(y / 7) * 0.4 + 0.5, (x + y) / (h + w)], axis=2), 0, 1)
+
+
+@pytest.mark.parametrize("quality, least", [(-1, 45), (90, 36), (30, 28)])
+def test_jpeg_is_read_by_another_decoder(spark, tmp_path, quality, least):
+    """Written files through Spark's own image source, beside a PNG in one folder."""
+    a = [smooth(37, 50), smooth(8, 8), np.full((5, 3, 3), 0.25), rng.random((16, 16, 3)) * 0.5 + smooth(16, 16) * 0.5]
+    out = str(tmp_path / "out")
+    assert all(r["ok"] for r in images.imwrite(image_rows(spark, a, "float32"), out, "jpg", quality).collect())
+    images.imwrite(image_rows(spark, a[:1], "uint8"), out, "png").collect()
+    got = images.imread(spark, out).collect()
+    assert len(got) == 5
+    for k, x in enumerate(a[:3]):
+        r = next(r for r in got if r["origin"].endswith(f"/{k}.jpg"))
+        back = arrays.decode_data(r["data"], r["height"], r["width"], 3, "uint8", unit=True)
+        assert arrays.psnr(back, np.floor(x * 255) / 255) > least
+    sizes = {q: len(jpegfile.encode_jpeg((smooth(64, 64) * 255).astype(np.uint8), q)) for q in (30, 90, 100)}
+    assert sizes[30] < sizes[90] < sizes[100]
+
+
+def test_jpeg_codes_and_gray(spark, tmp_path):
+    skewed = {s: 1 << min(s, 40) for s in range(60)}
+    lengths = dict(jpegfile.code_lengths(skewed))
+    assert max(lengths.values()) <= 16 and sum(2.0**-d for d in lengths.values()) < 1 and lengths[59] <= lengths[0]
+    assert dict(jpegfile.code_lengths({5: 9})) == {5: 1}
+    gray = (smooth(20, 20)[:, :, :1] * 255).astype(np.uint8)
+    (tmp_path / "g.jpg").write_bytes(jpegfile.encode_jpeg(gray))
+    r = images.imread(spark, str(tmp_path / "g.jpg")).first()
+    assert arrays.psnr(arrays.decode_data(r["data"], 20, 20, 3, "uint8", unit=True), np.repeat(gray, 3, axis=2) / 255) > 45
+
+
+@pytest.mark.parametrize("compression", [0, 2, 3])
+@pytest.mark.parametrize("kind, name", [(1, "float16"), (2, "float32")])
+def test_exr_round_trip(compression, kind, name):
+    for shape in ((1, 1, 3), (37, 20, 3), (16, 5, 3)):
+        a = (rng.random(shape) * 40 - 3).astype(name)
+        back = exr.decode_exr(exr.encode_exr(a, kind, compression))
+        assert back.dtype == name and (back == a).all()
+    with pytest.raises(RuntimeError, match="cannot decode"):
+        images.decode(exr.encode_exr(a, kind, compression).replace(b"compression\x00compression\x00\x01\x00\x00\x00" + bytes([compression]), b"compression\x00compression\x00\x01\x00\x00\x00\x09"))
+
+
+def test_exr_rows(spark, tmp_path):
+    a = smooth(20, 9)
+    assert images.imwrite(image_rows(spark, [a], "float32"), str(tmp_path), "exr").first()["ok"]
+    r = images.imread(spark, str(tmp_path)).first()
+    assert (r["dtype"], r["space"], r["height"], r["width"]) == ("float16", "bgr", 20, 9)
+    assert np.abs(arrays.decode_data(r["data"], 20, 9, 3, "float16") - a).max() < 1e-3
+
+
+@pytest.mark.parametrize("compression", [1, 5, 8, 32946])
+def test_tiff_compression(compression):
+    for a in (rng.integers(0, 256, (60, 90, 3), dtype=np.uint8), np.zeros((70, 200, 3), np.uint8), (smooth(90, 80) * 65535).astype(np.uint16)):
+        assert (images.decode_tiff(images.encode_tiff(a, compression)) == a).all()
+    with pytest.raises(ValueError):
+        images.encode_tiff(a, 7)
+
+
+def test_lzw():
+    for n in (0, 1, 2, 255, 256, 257, 5000, 40_000):
+        for top in (2, 256):
+            data = rng.integers(0, top, n, dtype=np.uint8).tobytes()
+            assert images.unlzw(images.lzw(data)) == data
+
+
 def test_png_filters_gray_and_alpha():
     a = rng.integers(0, 256, (6, 5, 3), dtype=np.uint8)
     raw = bytearray()
