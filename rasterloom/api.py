@@ -8,9 +8,9 @@ from .functions.color import (
 from .functions.dtype import to_dtype, to_float16, to_float32, to_float64, to_uint8, to_uint16
 from .functions.sql import register as register_sql_functions
 from .operators.affine import affine_transform, affine_transform_by, crop_from_kps, get_inverse_matrix
-from .operators.arrays import blur_images, images_to_pixels, pixels_to_images, resize_images
+from .operators.arrays import batch_to_tile, blur_images, images_to_pixels, pixels_to_images, resize_images, to_batch, to_blobs
 from .operators.chroma import ndi_uyvy422_to_ycbcr444, ndi_uyvy422_to_ycbcr444_resized, uyvy422_to_ycbcr444, yuv420p_to_ycbcr444, yuv420p_to_ycbcr444_resized, yuv422p10le_to_ycbcr444
-from .operators.faces import align, detect, swap
+from .operators.faces import align, detect, records, swap
 from .operators.filters import GaussianBlur, create_erode_kernel, create_gaussian_kernel, erode, gaussian_blur
 from .operators.infer import embed, upscale
 from .operators.lut import aces2065_1_to_rec709, apply_lut, rec709_to_aces2065_1

@@ -112,6 +112,51 @@ def blur_images(images: DataFrame, kernel_size: int, sigma: float, dtype: str =
     return map_images(images, lambda a: blur_array(a, kernel_size, sigma), dtype)
 
 
+def to_blobs(images: DataFrame, scalefactor: float = 1.0, size: tuple[int, int] | None = None, mean: tuple[float, ...] = (0.0, 0.0, 0.0), swap_rb: bool = False, fp16: bool = False, batch: int = 16) -> DataFrame:
+    """BATCH rows: up to ``batch`` images of one shape, scaled to size = (width, height), as planes
+    (image, channel, y, x) of (v - mean) * scalefactor. Images keep their task; none is shuffled."""
+    kind = "float16" if fp16 else "float32"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_: dict[tuple, list] = {}
+
+        def flush(held: list) -> pd.DataFrame:
+            planes = np.stack([x for _, x in held])
+            return pd.DataFrame([([i for i, _ in held], *planes.shape, kind, encode_data(planes, kind))], columns=S.BATCH.fieldNames())
+
+        for rows in batches:
+            for r in rows.itertuples():
+                a = decode_data(r.data, r.height, r.width, r.channels, r.dtype, unit=True)
+                a = resize_array(a, *size) if size else a
+                a = (a - np.array(mean)[: a.shape[2]]) * scalefactor
+                planes = (a[:, :, ::-1] if swap_rb else a).transpose(2, 0, 1)
+                held = open_.setdefault(planes.shape, [])
+                held.append((r.image_id, planes))
+                if len(held) == batch:
+                    yield flush(open_.pop(planes.shape))
+        for held in open_.values():
+            yield flush(held)
+
+    return images.select(*S.IMAGE.fieldNames()).mapInPandas(run, S.BATCH)
+
+
+def to_batch(tiles: DataFrame, batch: int = 16) -> DataFrame:
+    """Tiles (IMAGE rows) of one size as batches of float32 planes."""
+    return to_blobs(tiles, batch=batch)
+
+
+def batch_to_tile(batches: DataFrame, space: str = "rgb") -> DataFrame:
+    """IMAGE rows (float32) of the images in BATCH rows."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts:
+            for r in rows.itertuples():
+                a = np.frombuffer(r.data, NUMPY[r.dtype]).reshape(r.n, r.channels, r.height, r.width).transpose(0, 2, 3, 1)
+                yield pd.DataFrame({"image_id": list(r.image_ids), "origin": "", "height": r.height, "width": r.width, "channels": r.channels, "dtype": "float32", "space": space, "data": [encode_data(x, "float32") for x in a]})
+
+    return batches.mapInPandas(run, S.IMAGE)
+
+
 def images_to_pixels(images: DataFrame) -> DataFrame:
     """image_id, y, x, c0, c1, c2 (doubles in [0, 1]) of three-channel IMAGE rows."""
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from . import vision
-from .arrays import decode_data, encode_data, images_to_pixels, resize_array
-from .infer import model_bytes_of
+from .arrays import decode_data, encode_data, images_to_pixels, pixels_to_images, resize_array
+from .infer import model_bytes_of, outputs_of, session_of
 
 # What detectors and swappers are fed.
 DETECT_MEAN, DETECT_STD = 127.5 / 255, 128.0 / 255
@@ -39,7 +39,7 @@ def heads(images: DataFrame, model_path: str | None = None, model_bytes: bytes |
     w_in, h_in = input_size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session = backend(model.value)
+        session = session_of(backend, model.value)
         for rows in batches:
             out = []
             for r in rows.itertuples():
@@ -57,8 +57,11 @@ def heads(images: DataFrame, model_path: str | None = None, model_bytes: bytes |
     return images.mapInPandas(run, _HEADS)
 
 
-def detect(images: DataFrame, model_path: str | None = None, model_bytes: bytes | None = None, outputs: int = 9, input_size: tuple[int, int] = vision.INPUT_SIZE, threshold: float = vision.SCORE_THRESHOLD, nms_threshold: float = vision.NMS_THRESHOLD, max_num: int = 0, metric: str = "default", backend: Callable = onnx_outputs) -> DataFrame:
-    """image_id, face_idx, score, x1..y2 and kps in image coordinates, best first."""
+def detect(images: DataFrame, model_path: str | None = None, model_bytes: bytes | None = None, outputs: int | None = None, input_size: tuple[int, int] = vision.INPUT_SIZE, threshold: float = vision.SCORE_THRESHOLD, nms_threshold: float = vision.NMS_THRESHOLD, max_num: int = 0, metric: str = "default", backend: Callable = onnx_outputs) -> DataFrame:
+    """image_id, face_idx, score, x1..y2 and kps in image coordinates, best first. The layout follows from
+    the number of the model's outputs, which another backend's caller must give (else 9)."""
+    if outputs is None:
+        outputs = outputs_of(model_bytes_of(model_path, model_bytes)) if backend is onnx_outputs else 9
     anchors = vision.head_layout(outputs)[2]
     raw = heads(images, model_path, model_bytes, outputs, input_size, threshold, backend)
     # A place in the total order of an image's anchors: finer strides first.
@@ -90,6 +93,20 @@ def align(images: DataFrame, faces: DataFrame, size: int = 512) -> tuple[DataFra
     return vision.crop_faces(px, faces, size, keys)
 
 
+def records(images: DataFrame, faces: DataFrame, size: int = 512) -> DataFrame:
+    """FACE rows of detected faces: box, score, points, and the aligned crop with its matrix; embeddings
+    are null until ``embed`` has made them."""
+    px, matrices = align(images, faces, size)
+    one = F.xxhash64("image_id", "face_idx")
+    crops = pixels_to_images(px.withColumn("_id", one).drop("image_id", "face_idx").withColumnRenamed("_id", "image_id"), "float32")
+    image = F.struct(F.col("image_id").alias("image_id"), *(F.col(c) for c in S.IMAGE.fieldNames()[1:]))
+    crops = crops.select(F.col("image_id").alias("_id"), image.alias("image"))
+    out = faces.join(matrices, ["image_id", "face_idx"]).withColumn("_id", one).join(crops, "_id", "left")
+    box = F.struct(*(F.col(c).alias(c) for c in ("x1", "y1", "x2", "y2")))
+    none = F.lit(None).cast("array<float>")
+    return out.select("image_id", F.col("face_idx").cast("int").alias("face_idx"), box.alias("bbox"), "score", "kps", "matrix", none.alias("embedding"), none.alias("normed_embedding"), "image")
+
+
 def swap(targets: DataFrame, latents: DataFrame, model_path: str | None = None, model_bytes: bytes | None = None, backend: Callable = onnx_outputs) -> DataFrame:
     """Face crops (IMAGE rows, BGR) redrawn with the latent vector of the same image_id (array ``latent``,
     see ``vision.latent``); the result has the crop's size, float32 BGR."""
@@ -97,7 +114,7 @@ def swap(targets: DataFrame, latents: DataFrame, model_path: str | None = None,
     both = targets.join(latents.select("image_id", "latent"), "image_id").select(*S.IMAGE.fieldNames(), "latent")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session = backend(model.value)
+        session = session_of(backend, model.value)
         for rows in batches:
             data = []
             for r in rows.itertuples():

@@ -37,6 +37,54 @@ def onnx_backend(model: bytes) -> Run:
     return lambda x: session.run(None, {name: x.astype(kind)})[0]
 
 
+def session_of(backend: Callable, model: bytes) -> Callable:
+    """The worker's session of a model, opened once. A backend counts as the same if its code and what it
+    holds are."""
+    code, cells = getattr(backend, "__code__", None), getattr(backend, "__closure__", None) or ()
+    key = hashlib.sha256(model).hexdigest() + repr((hash(code) if code else backend, [c.cell_contents for c in cells]))
+    if key not in _sessions:
+        _sessions[key] = backend(model)
+    return _sessions[key]
+
+
+def _fields(data: bytes):
+    """(number, value) of the fields of a protobuf message."""
+
+    def varint(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (data[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if data[at - 1] < 128:
+                return value, at
+
+    at = 0
+    while at < len(data):
+        key, at = varint(at)
+        if key & 7 == 0:
+            value, at = varint(at)
+        else:
+            n, at = varint(at) if key & 7 == 2 else ({1: 8, 5: 4}[key & 7], at)
+            value, at = data[at : at + n], at + n
+        yield key >> 3, value
+
+
+def normalisation(model: bytes) -> tuple[float, float]:
+    """Mean and deviation that an embedding model wants its input changed by: none if one of its first
+    eight nodes subtracts and one multiplies, else half the range."""
+    graph = next((v for k, v in _fields(model) if k == 7), b"")
+    nodes = [v for k, v in _fields(graph) if k == 1][:8]
+    names = [next((v.decode() for k, v in _fields(n) if k == 3), "") for n in nodes]
+    inside = any(n.startswith(("Sub", "_minus")) for n in names) and any(n.startswith(("Mul", "_mul")) for n in names)
+    return (0.0, 1.0) if inside else (127.5 / 255, 127.5 / 255)
+
+
+def outputs_of(model: bytes) -> int:
+    """Number of outputs of an ONNX model."""
+    graph = next((v for k, v in _fields(model) if k == 7), b"")
+    return sum(1 for k, _ in _fields(graph) if k == 12)
+
+
 def pre_process(image: np.ndarray) -> np.ndarray:
     """BGR rows, columns, channels to a batch of one RGB planar image; gray is replicated, alpha dropped."""
     image = image if image.ndim == 3 else image[:, :, None]
@@ -53,14 +101,12 @@ def upscale(images: DataFrame, model_path: str | None = None, model_bytes: bytes
     model = images.sparkSession.sparkContext.broadcast(model_bytes_of(model_path, model_bytes))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = hashlib.sha256(model.value).hexdigest() + getattr(backend, "__qualname__", "")
-        if key not in _sessions:
-            _sessions[key] = backend(model.value)
+        session = session_of(backend, model.value)
         for rows in batches:
             out = rows.copy()
             for i, r in rows.iterrows():
                 x = decode_data(r["data"], r["height"], r["width"], r["channels"], r["dtype"], unit=True)
-                y = post_process(_sessions[key](pre_process(x)))
+                y = post_process(session(pre_process(x)))
                 out.at[i, "data"] = encode_data(y, "float32")
                 out.at[i, "height"], out.at[i, "width"], out.at[i, "channels"] = y.shape[0], y.shape[1], y.shape[2]
                 out.at[i, "dtype"] = "float32"
@@ -69,12 +115,17 @@ def upscale(images: DataFrame, model_path: str | None = None, model_bytes: bytes
     return images.select(*S.IMAGE.fieldNames()).mapInPandas(run, S.IMAGE)
 
 
-def embed(images: DataFrame, model_path: str | None = None, model_bytes: bytes | None = None, mean: float = 127.5 / 255, std: float = 127.5 / 255, backend: Callable[[bytes], Run] = onnx_backend) -> DataFrame:
-    """image_id, embedding and normed_embedding of aligned crops."""
-    model = images.sparkSession.sparkContext.broadcast(model_bytes_of(model_path, model_bytes))
+def embed(images: DataFrame, model_path: str | None = None, model_bytes: bytes | None = None, mean: float | None = None, std: float | None = None, backend: Callable[[bytes], Run] = onnx_backend) -> DataFrame:
+    """image_id, embedding and normed_embedding of aligned crops. ``mean`` and ``std`` are the model's own
+    (see ``normalisation``) if they are not given."""
+    data = model_bytes_of(model_path, model_bytes)
+    if mean is None or std is None:
+        own = normalisation(data) if backend is onnx_backend else (127.5 / 255, 127.5 / 255)
+        mean, std = own[0] if mean is None else mean, own[1] if std is None else std
+    model = images.sparkSession.sparkContext.broadcast(data)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session = backend(model.value)
+        session = session_of(backend, model.value)
         for rows in batches:
             out = []
             for r in rows.itertuples():

@@ -12,7 +12,7 @@ from ..functions import color as K
 from ..functions import dtype as D
 from ..functions import sql as Q
 from ..operators import affine as A
-from ..operators import arrays, chroma, filters, infer, lut, tiles, vision
+from ..operators import arrays, chroma, faces, filters, infer, lut, tiles, vision
 from ..operators.resample import resize
 from ..sources import cube, images
 from ..streaming import frames
@@ -423,19 +423,42 @@ def _rows_of_images(spark: SparkSession, sf_dir: str, dtype: str) -> DataFrame:
     return arrays.pixels_to_images(X.img_embeddings(spark, sf_dir, 3).withColumnRenamed("vec_id", "image_id"), dtype)
 
 
-def imread_imwrite_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images as PNG files and back."""
-    at = scratch.folder(spark, "png")
-    done = images.imwrite(_rows_of_images(spark, sf_dir, "uint8"), at, "png")
+def _through_files(rows: DataFrame, suffix: str) -> DataFrame:
+    """Images as files and back, as pixels."""
+    spark = rows.sparkSession
+    at = scratch.folder(spark, suffix)
+    done = images.imwrite(rows, at, suffix)
     if done.where("not ok").count():
         raise OSError("an image was not written")
-    back = images.imread(spark, at).withColumn("image_id", F.regexp_extract("origin", r"(\d+)\.png$", 1).cast("long"))
+    back = images.imread(spark, at).withColumn("image_id", F.regexp_extract("origin", rf"(\d+)\.{suffix}$", 1).cast("long"))
     px = arrays.images_to_pixels(back.select(*S.IMAGE.fieldNames()))
     return rounded(px.withColumnRenamed("image_id", "vec_id"), "c0", "c1", "c2")
 
 
-_BYTE = ", ".join(f"round(floor(c{i} * 255e0) / 255e0, 6) + 0e0 AS c{i}" for i in range(3))
-add("imread_imwrite_roundtrip", imread_imwrite_roundtrip, f"WITH {X.SQL['img']} SELECT vec_id, y::INT AS y, x::INT AS x, {_BYTE} FROM img")
+def _steps(n: int) -> str:
+    each = ", ".join(f"round(floor(c{i} * {n}e0) / {n}e0, 6) + 0e0 AS c{i}" for i in range(3))
+    return f"WITH {X.SQL['img']} SELECT vec_id, y::INT AS y, x::INT AS x, {each} FROM img"
+
+
+add("imread_imwrite_roundtrip", lambda spark, d: _through_files(_rows_of_images(spark, d, "uint8"), "png"), _steps(255))
+add("bmp_roundtrip", lambda spark, d: _through_files(_rows_of_images(spark, d, "uint8"), "bmp"), _steps(255))
+add("tif_roundtrip", lambda spark, d: _through_files(_rows_of_images(spark, d, "uint16"), "tif"), _steps(65535))
+
+
+def exr_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of 1/256 are exact as half floats."""
+    px = X.img_embeddings(spark, sf_dir, 3).withColumnRenamed("vec_id", "image_id")
+    px = px.withColumns({f"c{i}": F.floor(F.col(f"c{i}") * 256.0) / 256.0 for i in range(3)})
+    return _through_files(arrays.pixels_to_images(px, "float32"), "exr")
+
+
+add("exr_roundtrip", exr_roundtrip, _steps(256))
+
+
+def tile_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images stacked to batches of planes and taken apart again."""
+    back = arrays.batch_to_tile(arrays.to_batch(_rows_of_images(spark, sf_dir, "float64"), 16))
+    return rounded(arrays.images_to_pixels(back).withColumnRenamed("image_id", "vec_id"), "c0", "c1", "c2")
 
 
 def double_backend(model: bytes):
@@ -452,6 +475,26 @@ _SINGLE = ", ".join(f"round(c{i}::FLOAT::DOUBLE, 6) + 0e0 AS c{i}" for i in rang
 add("upscale_udf", upscale_udf, f"WITH {X.SQL['img']} SELECT vec_id, (y * 2 + dy)::INT AS y, (x * 2 + dx)::INT AS x, {_SINGLE} FROM img, range(2) a(dy), range(2) b(dx)")
 
 
+add("tile_batches", tile_batches, f"WITH {X.SQL['img']} SELECT vec_id, y::INT AS y, x::INT AS x, {_SINGLE} FROM img")
+
+
+def swap_backend(model: bytes):
+    """A stand-in for a model: the crop with the first value of the latent vector added."""
+    return lambda x, latent: [x + latent[:, :1, None, None]]
+
+
+def swap_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crops of one colour, redrawn by a model of crops and latent vectors."""
+    rows = X.img_embeddings(spark, sf_dir, 3).where("y = 0 and x = 0").withColumnRenamed("vec_id", "image_id")
+    crops = arrays.resize_images(arrays.pixels_to_images(rows, "float64"), 4, 4, S.NEAREST, "float64")
+    latents = rows.select("image_id", F.array((F.col("c1") / 4.0).cast("float")).alias("latent"))
+    out = faces.swap(crops, latents, model_bytes=b"swap", backend=swap_backend)
+    return arrays.images_to_pixels(out).select(F.col("image_id").alias("vec_id"), "y", "x", *(F.round(f"c{i}", 4).alias(f"c{i}") for i in range(3)))
+
+
+add("swap_faces", swap_faces, f"WITH {X.SQL['img']} SELECT vec_id, a.y::INT AS y, b.x::INT AS x, " + ", ".join(f"round(least(c{i} + c1 / 4, 1e0), 4) AS c{i}" for i in range(3)) + " FROM (SELECT * FROM img WHERE y = 0 AND x = 0) i, range(4) a(y), range(4) b(x)")
+
+
 def stream_grayscale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels that arrive as files, through a stream into files."""
     at = scratch.folder(spark, "stream")

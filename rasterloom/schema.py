@@ -21,6 +21,11 @@ IMAGE = T.StructType([
     T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("channels", T.IntegerType()),
     T.StructField("dtype", T.StringType()), T.StructField("space", T.StringType()), T.StructField("data", T.BinaryType()),
 ])
+#: Planes of several images of one shape: (n, channels, height, width), row-major.
+BATCH = T.StructType([
+    T.StructField("image_ids", T.ArrayType(T.LongType())), T.StructField("n", T.IntegerType()), T.StructField("channels", T.IntegerType()),
+    T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("dtype", T.StringType()), T.StructField("data", T.BinaryType()),
+])
 FRAME = T.StructType([
     T.StructField("frame_id", T.LongType()), T.StructField("ts", T.TimestampType()),
     T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()),

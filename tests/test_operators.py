@@ -367,6 +367,49 @@ def test_face_chain(spark):
     assert {r["image_id"]: float(arrays.decode_data(r["data"], r["height"], r["width"], 3, "float32").mean()) for r in out} == {0: 1.0, 1: 0.0}
 
 
+def test_face_records(spark):
+    images = image_rows(spark, [rng.random((32, 64, 3)), rng.random((64, 64, 3))])
+    found = faces_op.detect(images, model_bytes=b"x", input_size=(64, 64), backend=fake_detector)
+    kps = F.array(*(F.struct(F.lit(x / 3).alias("x"), F.lit(y / 3).alias("y")) for x, y in affine.TEMPLATE))
+    rows = faces_op.records(images, found.withColumn("kps", kps), 8)
+    assert [(f.name, f.dataType.simpleString()) for f in rows.schema] == [(f.name, f.dataType.simpleString()) for f in S.FACE]
+    got = rows.collect()
+    assert len(got) == 2
+    for r in got:
+        assert (r["image"]["height"], r["image"]["width"], r["image"]["channels"]) == (8, 8, 3) and r["bbox"]["x2"] > r["bbox"]["x1"]
+        want = array_of(faces_op.align(images.where(F.col("image_id") == r["image_id"]), found.withColumn("kps", kps), 8)[0].drop("face_idx"))
+        assert np.abs(arrays.decode_data(r["image"]["data"], 8, 8, 3, "float32") - want).max() < 1e-6
+
+
+def message(*fields):
+    return b"".join(bytes([k << 3 | 2, len(v)]) + v for k, v in fields)
+
+
+def test_model_set_up():
+    node = lambda name: (1, message((1, b"x"), (3, name)))
+    own = message((7, message(node(b"Sub_0"), node(b"Mul_1"), (12, b"a"))))
+    plain = b"\x08\x07" + message((7, message(*[node(b"Conv")] * 8, node(b"Sub"), node(b"Mul"), *[(12, b"o")] * 9)))
+    assert infer.normalisation(own) == (0.0, 1.0) and infer.outputs_of(own) == 1
+    assert infer.normalisation(plain) == (0.5, 0.5) and infer.outputs_of(plain) == 9
+    opened = []
+    both = [infer.session_of(lambda m, k=k: opened.append(m) or k, b"model") for k in (1, 1)]
+    assert len(both) == 2 and len(opened) == 1
+
+
+def test_batches(spark):
+    a = [rng.random((4, 6, 3)) for _ in range(5)] + [rng.random((2, 2, 3))]
+    images = image_rows(spark, a, "float64").coalesce(1)
+    blobs = arrays.to_blobs(images, 2.0, None, (0.1, 0.2, 0.3), True, True, 2).collect()
+    assert sorted(r["n"] for r in blobs) == [1, 1, 2, 2] and {r["dtype"] for r in blobs} == {"float16"}
+    for r in blobs:
+        planes = np.frombuffer(r["data"], "<f2").reshape(r["n"], 3, r["height"], r["width"])
+        for i, p in zip(r["image_ids"], planes):
+            assert np.abs(p - ((a[i] - [0.1, 0.2, 0.3]) * 2)[:, :, ::-1].transpose(2, 0, 1)).max() < 2e-3
+    assert {(r["height"], r["width"]) for r in arrays.to_blobs(images, size=(3, 5)).collect()} == {(5, 3)}
+    back = arrays.batch_to_tile(arrays.to_batch(images, 4)).collect()
+    assert all(np.abs(arrays.decode_data(r["data"], r["height"], r["width"], 3, "float32") - a[r["image_id"]]).max() < 1e-6 for r in back) and len(back) == 6
+
+
 def test_api_names():
     from rasterloom import api
 
