@@ -64,7 +64,7 @@ def _fields(data: bytes):
         if key & 7 == 0:
             value, at = varint(at)
         else:
-            n, at = varint(at) if key & 7 == 2 else ({1: 8, 5: 4}[key & 7], at)
+            n, at = varint(at) if key & 7 == 2 else ({1: 8, 5: 4}.get(key & 7, len(data)), at)
             value, at = data[at : at + n], at + n
         yield key >> 3, value
 
