@@ -17,6 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 SPACE = " \t\n\x0b\x0c\r"
 #: Removes an execution's shuffle files when it ends; nothing reads them once its table is written.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Broadcast relations of finished steps keep their pages on the driver until it collects garbage, which
+#: iterations of many small steps would pile up: it does so once in so many steps.
+COLLECT = 6
+_steps = 0
 _own: str | None = None
 _swept: set[str] = set()
 
@@ -69,9 +73,13 @@ def write(df: DataFrame, path: str, *folders: str) -> None:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: lineage is cut at files
     that outlive any executor."""
+    global _steps
     spark = df.sparkSession
     path = new_path(spark, tag)
     write(df, path)
+    _steps += 1
+    if _steps % COLLECT == 0:
+        spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
