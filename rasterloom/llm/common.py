@@ -20,6 +20,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Broadcast relations of finished steps keep their pages on the driver until it collects garbage, which
 #: iterations of many small steps would pile up: it does so once in so many steps.
 COLLECT = 6
+FILE_ROWS = 200_000
 _steps = 0
 _own: str | None = None
 _swept: set[str] = set()
@@ -70,10 +71,13 @@ def write(df: DataFrame, path: str, *folders: str) -> None:
         conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: lineage is cut at files
-    that outlive any executor."""
+    that outlive any executor. ``rows`` says about how many rows a result has that is known to be
+    smaller than what it is made of: it is then written by no more tasks than these rows need."""
     global _steps
+    if rows is not None:
+        df = df.coalesce(1 + rows // FILE_ROWS)
     spark = df.sparkSession
     path = new_path(spark, tag)
     write(df, path)

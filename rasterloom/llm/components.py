@@ -29,10 +29,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Loops are ignored; no edges give no rows. Raises ``RuntimeError`` if ``rounds`` do not do."""
     now = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = common.materialize(now, "edges")
-    state = None
+    state, n = None, now.count()
     for _ in range(rounds):
-        large = common.materialize(_star(now, small=False), "large-star")
-        step = common.materialize(_star(large, small=True), "small-star")
+        large = common.materialize(_star(now, small=False), "large-star", 2 * n)
+        step = common.materialize(_star(large, small=True), "small-star", 2 * n)
         common.discard(now, large)
         now = step
         mark = step.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()

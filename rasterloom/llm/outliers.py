@@ -203,25 +203,26 @@ def fit(stats: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame
     and the scores of its rows twice a step."""
     rows = stats.where(~F.col("base_failed")).select("g", "p", *(f"x{i}" for i in range(P)))
     mid = common.materialize(_median(rows, [F.col(f"x{i}") for i in range(P)], "b"), "mcd-centre")
+    groups = mid.count()
     away = rows.join(mid, "g")
     dev = _median(away, [F.abs(F.col(f"x{i}") - F.col(f"b{i}")) for i in range(P)], "d")
     scale = mid.join(dev, "g").select("g", *(f"b{i}" for i in range(P)), *(F.greatest(1.4826 * F.col(f"d{i}"), F.lit(f)).alias(f"s{i}") for i, f in enumerate(FLOORS)))
-    scale = common.materialize(scale, "mcd-scale")
+    scale = common.materialize(scale, "mcd-scale", groups)
     z = common.materialize(rows.join(scale, "g").select("g", "p", *_scores(rows)), "mcd-z")
     # Starts: unit scatter, and the correlation of tanh scores.
     tanh = _moments(z.select("g", "p", *(F.tanh(k).alias(k) for k in _Z)), _Z, F.lit(1))
     cor = {(i, j): F.lit(1.0) if i == j else F.col(f"c_{i}_{j}") / F.sqrt(F.greatest(F.col(f"c_{i}_{i}") * F.col(f"c_{j}_{j}"), F.lit(1e-6))) for i, j in _IJ}
     unit = {(i, j): F.lit(1.0 if i == j else 0.0) for i, j in _IJ}
     both = tanh.select("g", F.explode(F.array(*(F.struct(F.lit(k).alias("start"), *(c.alias(f"c_{i}_{j}") for (i, j), c in cov.items())) for k, cov in enumerate((unit, cor))))).alias("e"))
-    est = common.materialize(_cholesky(both.select("g", "e.*", *(F.lit(0.0).alias(m) for m in _M)), 1.0), "mcd-start")
+    est = common.materialize(_cholesky(both.select("g", "e.*", *(F.lit(0.0).alias(m) for m in _M)), 1.0), "mcd-start", 2 * groups)
     for _ in range(steps):
         d = _distance(z.join(est, "g"), ["g", "p", "start", *_Z]).withColumn("cell", F.floor(F.log1p("d2") / STEP))
         cells = d.groupBy("g", "start", "cell").agg(F.count("*").alias("n"))
-        cut = common.materialize(_cut(cells, ["g", "start"], share).select("g", "start", F.col("cell").alias("last")), "mcd-cut")
+        cut = common.materialize(_cut(cells, ["g", "start"], share).select("g", "start", F.col("cell").alias("last")), "mcd-cut", 2 * groups)
         inside = d.join(cut, ["g", "start"]).where("cell <= last")
-        est = common.materialize(_cholesky(_moments(inside, _Z, F.col("start")), FACTOR), "mcd-step")
+        est = common.materialize(_cholesky(_moments(inside, _Z, F.col("start")), FACTOR), "mcd-step", 2 * groups)
     best = est.groupBy("g").agg(F.min_by(F.struct(*_M, *_L), F.struct("logdet", "start")).alias("e")).select("g", "e.*")
-    return common.materialize(scale.join(best, "g"), "mcd-estimate")
+    return common.materialize(scale.join(best, "g"), "mcd-estimate", groups)
 
 
 def judge(stats: DataFrame, estimate: DataFrame, tail: float = TAIL) -> DataFrame:
