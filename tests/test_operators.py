@@ -382,7 +382,8 @@ def test_face_records(spark):
 
 
 def message(*fields):
-    return b"".join(bytes([k << 3 | 2, len(v)]) + v for k, v in fields)
+    size = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128, n >> 7])
+    return b"".join(bytes([k << 3 | 2]) + size(len(v)) + v for k, v in fields)
 
 
 def test_model_set_up():
