@@ -38,10 +38,11 @@ def onnx_backend(model: bytes) -> Run:
 
 
 def session_of(backend: Callable, model: bytes) -> Callable:
-    """The worker's session of a model, opened once. A backend counts as the same if its code and what it
-    holds are."""
+    """The worker's session of a model, opened once. A backend counts as the same if its code and the plain
+    values that it holds are."""
     code, cells = getattr(backend, "__code__", None), getattr(backend, "__closure__", None) or ()
-    key = hashlib.sha256(model).hexdigest() + repr((hash(code) if code else backend, [c.cell_contents for c in cells]))
+    held = [c.cell_contents for c in cells if isinstance(c.cell_contents, (int, float, str, bytes, tuple))]
+    key = hashlib.sha256(model).hexdigest() + repr((hash(code) if code else backend, held))
     if key not in _sessions:
         _sessions[key] = backend(model)
     return _sessions[key]
