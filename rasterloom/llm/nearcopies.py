@@ -1,22 +1,27 @@
-"""Near copies by five-word shingles: documents with a Jaccard similarity of at least 0.8 are linked,
-and of each connected group one document stays.
-
-64 bits of SimHash cannot find such pairs: at similarity 0.8 the cosine of the shingle sets is 8/9, so
-some 9.7 bits differ, and a ball wide enough for nearly all of them leaves no block of bits that
-selects. So the fingerprint in blocks is one of minimums: ``BANDS`` blocks of ``WIDTH`` minimums of the
-hashed shingles. A pair at similarity J meets in none of them with probability (1 - J^5)^32, which is
-3e-6 at 0.8. Who meets in a block is only a candidate; the shingle sets decide.
-
-Pairs of a block are not listed. Each member is compared with ``ANCHORS`` members of the block, which are
-picked alike in all blocks, so most of a large group falls into one component at a number of comparisons
-that is linear in it. What is left are blocks whose other members lie in several components: there the
-members outside the block's largest component meet all others, in cells of ``CELL`` by ``CELL`` shingle
-sets whose sizes of intersection are a matrix product. No candidate pair across components stays undecided.
+"""Near copies by SimHash: documents with a Jaccard similarity of at least 0.8 of their five-word
+shingles are linked, and of each connected group one document stays.
+
+At similarity 0.8 the cosine of the shingle sets is 8/9, so some 15 % of the bits of two fingerprints
+differ, 9.7 of 64: too many for op5's ball. So the fingerprint is long, ``WORDS`` words of 32 bits, and a
+ball is hashed in each word, as in :mod:`simhash`: a word is shuffled under its upper byte, the receiving
+task unfolds the variants of the other ``OPEN`` bits within one flip, half the radius, and words that
+share a variant are within two bits. Of those that meet, the 64 bits of the next two words must be within
+``NEAR``. At 0.8 a word finds a pair with probability 0.074, so 128 words miss it with 5e-5; sets of up
+to ``SHORT`` shingles, of which more bits differ, are sent under the flips of the byte too. Who meets is
+only a candidate; the shingle sets decide.
+
+Pairs are not listed. A block is all that is linked by meetings in one word, and each of its members is
+compared with ``ANCHORS`` members, which are picked alike in all blocks, so most of a large group falls into
+one component at a number of comparisons that is linear in it. What is left are blocks whose other members
+lie in several components: there the members outside the block's largest component meet all others, in
+cells of ``CELL`` by ``CELL`` shingle sets whose sizes of intersection are a matrix product. No candidate
+pair across components stays undecided.
 
 Defined results: documents with equal shingle sets are copies, also those without words (null text);
 texts under five words have one shingle; words are split at ASCII white space, ASCII letters folded."""
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,16 +35,20 @@ from . import common
 from .components import components
 
 SHINGLE = 5
-BANDS, WIDTH = 32, 5
+WORDS, OPEN = 128, 24
+#: Bits of the next two words that may differ; members of a variant up to which pairs are held to that.
+NEAR, LISTED = 16, 16
+SHORT = 5
+#: Rows that a task unfolds at a time.
+LOCAL = 1 << 17
 ANCHORS, CELL = 3, 256
 #: Shingles that a cell multiplies at a time.
 COLUMNS = 2048
 BITS = 24
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RNG = np.random.default_rng(20)
-_MUL = _RNG.integers(0, 1 << 63, BANDS * WIDTH, np.uint64) << np.uint64(1) | np.uint64(1)
-_XOR = _RNG.integers(0, 1 << 63, BANDS * WIDTH, np.uint64)
-_MIX = _RNG.integers(0, 1 << 63, (BANDS, WIDTH), np.uint64) << np.uint64(1) | np.uint64(1)
+_MUL = _RNG.integers(0, 1 << 63, WORDS, np.uint64) << np.uint64(1) | np.uint64(1)
+_FLIPS = np.concatenate([np.zeros(1, np.int64), np.int64(1) << np.arange(OPEN)])
 _PICK = _RNG.integers(-(1 << 63), (1 << 63) - 1, ANCHORS, np.int64)
 
 
@@ -64,14 +73,18 @@ def signature(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 42)).view(np.int64))
 
 
-def blocks(own: np.ndarray) -> np.ndarray:
-    """One key per block of minimums; none for an empty set."""
-    if not len(own):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * WIDTH, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(own), 1024):
-        np.minimum(least, ((own[a : a + 1024, None] ^ _XOR) * _MUL).min(axis=0), out=least)
-    return ((least.reshape(BANDS, WIDTH) >> np.uint64(7)) * _MIX).sum(axis=1, dtype=np.uint64).view(np.int64)
+def fingerprint(own: np.ndarray) -> np.ndarray:
+    """``WORDS`` words: a bit is set if it is set in over half of the hashes that a word has of the shingles."""
+    ones = np.zeros(WORDS * 32, np.int64)
+    for a in range(0, len(own), 128):
+        h = (own[a : a + 128, None] * _MUL >> np.uint64(32)).astype("<u4")
+        ones += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(own), bitorder="little").view("<u4")
+
+
+def keys_of(own: np.ndarray) -> np.ndarray:
+    """The words of the fingerprint, each below its number; none for an empty set."""
+    return np.arange(WORDS if len(own) else 0) << 32 | (fingerprint(own) if len(own) else own.astype(np.int64))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -94,7 +107,7 @@ def keyed(docs: DataFrame) -> DataFrame:
                 own = shingles(t)
                 sig.append(signature(own))
                 n.append(len(own))
-                keys.append(own[:0] if sig[-1] in seen else blocks(own))
+                keys.append(own[:0] if sig[-1] in seen else keys_of(own))
                 seen.add(sig[-1])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sig, pa.int64()), pa.array(n, pa.int32()), _lists(keys)], ["doc_id", "sig", "n", "keys"])
 
@@ -219,13 +232,138 @@ def _rest(blocks: DataFrame, comp: DataFrame | None, sets: DataFrame) -> DataFra
     return common.materialize(_decide(cells).distinct(), "late-links")
 
 
+def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, near (the next two words) and sig for every word."""
+    for b in batches:
+        for at in range(0, b.num_rows, 512):
+            part = b.slice(at, 512)
+            sig, n = (part.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "n"))
+            key = part.column("keys").flatten().to_numpy(zero_copy_only=False).reshape(len(sig), -1)
+            word = key & 0xFFFFFFFF
+            near = np.roll(word, -1, axis=1) | np.roll(word, -2, axis=1) << 32
+            sig = np.broadcast_to(sig[:, None], key.shape)
+            out, short = [(key, near, sig)], n <= SHORT
+            if short.any():
+                out += [(key[short] ^ (1 << k), near[short], sig[short]) for k in range(OPEN, 32)]
+            columns = (np.concatenate([np.ravel(x[c]) for x in out]) for c in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "near", "sig"])
+
+
+def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the components of all (a, b) in ``root``, which names the least member of each."""
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root[:] = up
+
+
+def balls(key: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Of words under whole bytes, sorted, the least place of those that each is linked with: they share a
+    variant within one flip, and the next words are near or the variant has over ``LISTED`` words."""
+    n = len(key)
+    route = key >> OPEN
+    group = np.cumsum(np.concatenate([[False], route[1:] != route[:-1]])) << OPEN | (key & (1 << OPEN) - 1)
+    shift = n.bit_length()
+    parts = -(-n // LOCAL)
+    root = np.arange(n)
+    for p in range(parts):
+        found = []
+        for a in range(0, n, LOCAL):
+            v = (group[a : a + LOCAL, None] ^ _FLIPS).ravel()
+            row = np.repeat(np.arange(a, min(a + LOCAL, n)), len(_FLIPS))
+            if parts > 1:
+                mine = (v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts) == p
+                v, row = v[mine], row[mine]
+            found.append(v << shift | row)
+        met = np.sort(np.concatenate(found))
+        v = met >> shift
+        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])[: len(v)])
+        size = np.diff(np.append(first, len(v)))
+        first, size = first[size > 1], size[size > 1]
+        row = lambda at: met[at] & (1 << shift) - 1
+        many = size > LISTED
+        f, s = first[~many], size[~many]
+        for gap in range(1, LISTED):
+            f, s = f[s > gap], s[s > gap]
+            at = np.repeat(f, s - gap) + _within(s - gap)
+            x, y = row(at), row(at + gap)
+            ok = np.bitwise_count((near[x] ^ near[y]).view(np.uint64)) <= NEAR
+            _unite(root, x[ok], y[ok])
+        f, s = first[many], size[many]
+        _unite(root, row(np.repeat(f, s)), row(np.repeat(f, s) + _within(s)))
+    return root
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of ``sizes``."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (key, near, sig), sorted by key and with all of a byte's words, the blocks."""
+
+    def join(key: np.ndarray, near: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((sig, key))
+        key, near, sig = key[order], near[order], sig[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])])
+        key, near, sig = key[new], near[new], sig[new]
+        root = balls(key, near)
+        row = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
+        row = row[np.argsort(root[row], kind="stable")]
+        own, sig = root[row], sig[row]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])
+        size = np.diff(np.append(first, len(own)))
+        anchors = np.zeros((len(own), ANCHORS), np.int64)
+        name = own
+        if len(own):
+            for k, c in enumerate(_PICK):
+                anchors[:, k] = np.repeat(np.minimum.reduceat(sig ^ c, first) ^ c, size)
+            # A word and a member name a block.
+            name = (key[own] >> OPEN).view(np.uint64) * _MUL[0] ^ anchors[:, 0].view(np.uint64) * _MUL[1]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * ANCHORS), pa.array(anchors.ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(sig), lists], ["key", "sig", "anchors"])
+
+    def cut(rows: np.ndarray, end: bool) -> Iterator[int]:
+        """Ends of pieces of whole bytes, each of at most LOCAL rows or one byte; unless at the ``end``, the
+        last byte may go on."""
+        route = rows[0] >> OPEN
+        ends = [*(np.flatnonzero(route[1:] != route[:-1]) + 1).tolist(), *([len(route)] if end else [])]
+        at = 0
+        for k, x in enumerate(ends):
+            if k + 1 == len(ends) or ends[k + 1] - at > LOCAL:
+                yield x
+                at = x
+
+    held: list[np.ndarray] = []
+    size, limit = 0, LOCAL
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns]))
+            size += b.num_rows
+        if size and (b is None or size >= limit):
+            rows, at = np.concatenate(held, axis=1), 0
+            for x in cut(rows, b is None):
+                yield join(*rows[:, at:x])
+                at = x
+            held, size = [rows[:, at:]], size - at
+            limit = max(LOCAL, 2 * size)
+
+
+def meetings(rows: DataFrame) -> DataFrame:
+    """key, sig, anchors: blocks of sigs whose fingerprints meet in a word."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = rows.where(F.size("keys") > 0).select("sig", "n", "keys").mapInArrow(_send, "key long, near long, sig long")
+    sent = sent.repartition(parts, F.shiftright("key", OPEN)).sortWithinPartitions("key")
+    return sent.mapInArrow(_meet, "key long, sig long, anchors array<long>")
+
+
 def links(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     """node, component over sigs: those of 'similarity of at least 0.8', found in ``rows`` of keyed()."""
-    met = rows.select(F.explode("keys").alias("key"), "sig").distinct()
-    anchor = [F.min(F.col("sig").bitwiseXOR(F.lit(int(c)))).alias(f"a{k}") for k, c in enumerate(_PICK)]
-    several = met.groupBy("key").agg(F.count("*").alias("size"), *anchor).where("size > 1")
-    several = several.select("key", F.array_distinct(F.array(*(F.col(f"a{k}").bitwiseXOR(F.lit(int(c))) for k, c in enumerate(_PICK)))).alias("anchors"))
-    blocks = common.materialize(met.join(several, "key"), "blocks")
+    blocks = common.materialize(meetings(rows), "blocks")
     needed = blocks.select("sig").distinct()
     sets = common.materialize(sets_of(docs, rows.where(F.size("keys") > 0).join(needed, "sig", "left_semi").select("doc_id")).join(needed, "sig", "left_semi"), "shingle-sets")
     pairs = blocks.select("sig", F.explode("anchors").alias("a")).where("a <> sig").select(F.least("sig", "a").alias("u"), F.greatest("sig", "a").alias("v")).distinct()

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,66 @@ def test_ids_hold_every_id(spark):
     ids = [0, 1, 63, 64, -1, -64, (1 << 62) + 5, -(1 << 63), (1 << 24) - 1, None]
     held = nearcopies.Ids(spark.createDataFrame([(i,) for i in ids], "doc_id long"))
     assert all(held.may_hold(i) for i in ids) and not held.may_hold(2)
+
+
+def near_sets(n, edits):
+    own = np.random.default_rng(rng.getrandbits(32)).integers(0, 1 << 63, n + edits, np.uint64)
+    return np.sort(own[:n]), np.sort(own[edits:])
+
+
+def test_fingerprints_of_near_copies_meet_in_a_word():
+    """The candidates come from long SimHash fingerprints: bits by majority, about 15 % apart at 0.8."""
+    own = near_sets(300, 0)[0]
+    h = [[int(x) * int(m) % (1 << 64) >> 32 for m in nearcopies._MUL[:3]] for x in own]
+    want = [sum(1 << b for b in range(32) if 2 * sum(r[j] >> b & 1 for r in h) > 300) for j in range(3)]
+    assert nearcopies.fingerprint(own)[:3].tolist() == want
+    apart = [np.bitwise_count(nearcopies.fingerprint(a) ^ nearcopies.fingerprint(b)).sum() / (32 * nearcopies.WORDS) for a, b in (near_sets(180, 20) for _ in range(40))]
+    assert 0.13 < np.mean(apart) < 0.165
+
+
+def test_balls_link_variants_within_half_the_radius(monkeypatch):
+    """Against all pairs; in parts, and with variants of many words."""
+    words = [w ^ sum(1 << b for b in rng.sample(range(24), rng.randint(0, 4))) for w in (rng.getrandbits(26) for _ in range(60)) for _ in range(4)]
+    key = np.sort(np.array(words + [7] * 30, np.int64))
+    near = np.array([rng.choice([0, 0, 0xFFFF, -1, 0x1FFFF]) for _ in key], np.int64)
+    gap = lambda a, b: bin((int(a) ^ int(b)) & (1 << 64) - 1).count("1")
+
+    def slow(listed):
+        root = list(range(len(key)))
+        for j in range(len(key)):
+            for i in range(j):
+                if key[i] >> 24 == key[j] >> 24 and gap(key[i], key[j]) <= 2 and (gap(near[i], near[j]) <= nearcopies.NEAR or not listed and key[i] == key[j] == 7):
+                    lo, hi = sorted((root[i], root[j]))
+                    root = [lo if r == hi else r for r in root]
+        return root
+
+    assert nearcopies.balls(key, near).tolist() == slow(False)
+    monkeypatch.setattr(nearcopies, "LISTED", 1000)
+    assert nearcopies.balls(key, near).tolist() == slow(True)
+    monkeypatch.setattr(nearcopies, "LOCAL", 50)
+    assert nearcopies.balls(key, near).tolist() == slow(True)
+
+
+def test_near_copies_meet_whatever_the_pieces(spark, monkeypatch):
+    """Pairs at the bound of 0.8, and of four and five shingles, share a block."""
+    pairs = [near_sets(180, 20) for _ in range(150)] + [(own, own[:4]) for own in (near_sets(5, 0)[0] for _ in range(60))]
+    rows = [(2 * k + j, len(x), nearcopies.keys_of(x).tolist()) for k, p in enumerate(pairs) for j, x in enumerate(p)]
+    table = spark.createDataFrame(rows, "sig long, n int, keys array<long>")
+
+    def groups(blocks):
+        met = {}
+        for key, sig, anchors in blocks:
+            met.setdefault(key, (set(), anchors))[0].add(sig)
+            assert anchors == met[key][1]
+        assert all(len(b) > 1 and set(anchors) <= b for b, anchors in met.values())
+        return Counter(frozenset(b) for b, _ in met.values())
+
+    got = groups(nearcopies.meetings(table).collect())
+    own = {frozenset((2 * k, 2 * k + 1)) for k in range(len(pairs))}
+    assert own <= set(got) and len(got) < len(own) + 5
+    sig, n, keys = zip(*rows)
+    sent = pa.Table.from_batches(nearcopies._send([pa.record_batch([pa.array(sig), pa.array(n, pa.int32()), pa.array(keys)], ["sig", "n", "keys"])])).sort_by("key")
+    for local in (50, 3000):
+        monkeypatch.setattr(nearcopies, "LOCAL", local)
+        made = pa.Table.from_batches(nearcopies._meet(sent.to_batches(max_chunksize=37))).to_pylist()
+        assert groups((r["key"], r["sig"], r["anchors"]) for r in made) == got
