@@ -13,9 +13,10 @@ only a candidate; the shingle sets decide.
 Pairs are not listed. A block is all that is linked by meetings in one word, and each of its members is
 compared with ``ANCHORS`` members, which are picked alike in all blocks, so most of a large group falls into
 one component at a number of comparisons that is linear in it. What is left are blocks whose other members
-lie in several components: there the members outside the block's largest component meet all others, in
-cells of ``CELL`` by ``CELL`` shingle sets whose sizes of intersection are a matrix product. No candidate
-pair across components stays undecided.
+lie in several components. Such blocks are joined to groups, so that two members meet once and not once
+a word: the members outside a group's largest component meet all others, in cells of ``CELL`` by ``CELL``
+shingle sets whose sizes of intersection are a matrix product. No candidate pair across components stays
+undecided.
 
 Defined results: documents with equal shingle sets are copies, also those without words (null text);
 texts under five words have one shingle; words are split at ASCII white space, ASCII letters folded."""
@@ -213,16 +214,26 @@ def _decide(cells: DataFrame) -> DataFrame:
 
 
 def _rest(blocks: DataFrame, comp: DataFrame | None, sets: DataFrame) -> DataFrame:
-    """Links between components of block members that were no anchors, by cells."""
+    """Links between components that share a block, by cells. Blocks that share a component are one group
+    here, so two members meet once, in however many words they did."""
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    others = blocks.where(~F.array_contains("anchors", F.col("sig"))).select("key", "sig")
+    held = blocks.select("sig", F.col("anchors")[0].alias("a")).distinct()
     if comp is None:
-        others = others.withColumn("c", F.col("sig"))
+        held = held.select("sig", "a", F.col("sig").alias("c"), F.col("a").alias("d"))
     else:
-        others = others.join(comp.withColumnsRenamed({"node": "sig"}), "sig", "left").select("key", "sig", F.coalesce("component", "sig").alias("c"))
-    others = common.materialize(others, "block-members")
+        of = lambda k, c: comp.select(F.col("node").alias(k), F.col("component").alias(c))
+        held = held.join(of("sig", "c"), "sig", "left").join(of("a", "d"), "a", "left")
+        held = held.select("sig", "a", F.coalesce("c", "sig").alias("c"), F.coalesce("d", "a").alias("d"))
+    held = common.materialize(held, "block-members")
+    touch = common.materialize(held.where("c <> d").select(F.col("c").alias("u"), F.col("d").alias("v")).distinct(), "open-components")
+    n = touch.count()
+    if not n:
+        return touch
+    group = common.materialize(components(touch).select(F.col("node").alias("c"), F.col("component").alias("key")), "open-groups", 2 * n)
+    others = common.materialize(held.select("sig", "c").distinct().join(group, "c"), "open-members")
+    common.discard(held, touch, group)
     sizes = others.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("m"), F.max(F.struct("k", "c")).alias("top"))
-    sizes = sizes.where("top.k < m").select("key", F.col("top.c").alias("largest"), F.ceil(F.col("m") / CELL).cast("int").alias("js"), F.ceil((F.col("m") - F.col("top.k")) / CELL).cast("int").alias("is"))
+    sizes = sizes.select("key", F.col("top.c").alias("largest"), F.ceil(F.col("m") / CELL).cast("int").alias("js"), F.ceil((F.col("m") - F.col("top.k")) / CELL).cast("int").alias("is"))
     open_ = others.join(common.materialize(sizes, "open-blocks"), "key")
     h = F.xxhash64("sig")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -166,3 +166,20 @@ def test_near_copies_meet_whatever_the_pieces(spark, monkeypatch):
         monkeypatch.setattr(nearcopies, "LOCAL", local)
         made = pa.Table.from_batches(nearcopies._meet(sent.to_batches(max_chunksize=37))).to_pylist()
         assert groups((r["key"], r["sig"], r["anchors"]) for r in made) == got
+
+
+def test_members_of_many_blocks_meet_once(spark, docs_of, monkeypatch):
+    """A group of texts a little under 0.8 that share blocks in many words: rows of cells are counted."""
+    texts = [" ".join(f"new{k}x{i}" if i in (20, 50, 80, 110) else f"tok{i}" for i in range(150)) for k in range(30)]
+    sets = [grams(t) for t in texts]
+    decide, made = nearcopies._decide, []
+
+    def counted(cells):
+        made.append(cells.count())
+        return decide(cells)
+
+    monkeypatch.setattr(nearcopies, "_decide", counted)
+    assert sum(alike(a, b) for a in sets for b in sets) == 30
+    kept = sorted(r["doc_id"] for r in nearcopies.keep_first(docs_of(texts)).collect())
+    assert kept == slow_kept(dict(enumerate(texts)))
+    assert made and sum(made) <= 2 * len(texts)
